@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm import mixing
 from quillstone.llm.common import table
 from quillstone.llm.minhash import near_duplicates
+from quillstone.llm.packing import pack_texts
+from quillstone.llm.rules import passes, rule_ledger
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +23,29 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack_texts(table(spark, sf_dir, "documents"), word_tokenizer())
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_ledger(table(spark, sf_dir, "documents"))
+    base = ~passes("base")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes("v1")).alias("kept"), "failed")
+
+
 QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_mix_sources": op8_mix_sources,
+    "op9_pack_sequences": op9_pack_sequences,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mix_sources": mixing.ORACLE,
+}
