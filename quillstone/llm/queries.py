@@ -10,6 +10,7 @@ from quillstone.llm.common import table
 from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.packing import pack_texts
 from quillstone.llm.rules import passes, rule_ledger
+from quillstone.llm.secrets import find_secrets
 
 
 def word_tokenizer() -> str:
@@ -18,6 +19,13 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -40,6 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_pack_sequences": op9_pack_sequences,
