@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import mixing
 from quillstone.llm.common import table
+from quillstone.llm.html import extract_pages
 from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.packing import pack_texts
 from quillstone.llm.rules import passes, rule_ledger
 from quillstone.llm.secrets import find_secrets
+from quillstone.llm.toxicity import held_out, toxic_passages
 
 
 def word_tokenizer() -> str:
@@ -19,6 +21,16 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxic_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     joined = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
@@ -48,6 +60,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_extract_text": op1_extract_text,
+    "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_mix_sources": op8_mix_sources,
