@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.llm import mixing
 from quillstone.llm.common import table
 from quillstone.llm.html import extract_pages
+from quillstone.llm.lines import repeated_lines
 from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.packing import pack_texts
 from quillstone.llm.rules import passes, rule_ledger
@@ -38,6 +39,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed_lines"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -63,6 +69,7 @@ QUERIES = {
     "op1_extract_text": op1_extract_text,
     "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_pack_sequences": op9_pack_sequences,
