@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import mixing
+from quillstone.llm.ann import nearest
 from quillstone.llm.common import table
 from quillstone.llm.html import extract_pages
 from quillstone.llm.lines import repeated_lines
@@ -49,6 +50,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -71,11 +76,13 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op8_mix_sources": op8_mix_sources,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op8_mix_sources": mixing.ORACLE,
 }
