@@ -13,10 +13,16 @@ from quillstone.llm.common import WORD, stored
 LEVELS, DIGITS = 3, 3
 
 
+def place():
+    """A document's place among the others: hex digits of a digest of doc_id and text."""
+    identity = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("-"))))
+    return F.substring(identity, 1, LEVELS * DIGITS)
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Copies of each document such that each source's words come near its target.
 
-    docs: doc_id, text, source; other columns are ignored. Returns per row: doc_id, place (its digest's digits), size (words,
+    docs: doc_id, text, source; other columns are ignored. Returns per row: doc_id, src (the source, with s before it; empty for null), place, size (words,
     0 for null and empty texts), source_size, target, copies (0 up to cap), taken (size * copies).
 
     Sources in order of code points, the null source last, get the weights in turn. share * all words are dealt by weight;
@@ -28,13 +34,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     The histogram has one row per source and bucket; only the boundary bucket is dealt again by the next digits.
     Windows run over sources (one row each) and over at most 4096 buckets of a source, never over documents.
     """
-    identity = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("-"))))
     sized = stored(
         docs.select(
             "doc_id",
             F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("src"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.substring(identity, 1, LEVELS * DIGITS).alias("place"),
+            place().alias("place"),
         ),
         "sizes",
     )
@@ -74,7 +79,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     chosen = stored(sources.join(edge.select("src", "edge", "over"), "src", "left"), "thresholds")
     more = (F.col("place") < F.col("edge")) | ((F.col("place") == F.col("edge")) & F.col("over"))
     out = sized.join(chosen, "src").withColumn("copies", F.col("whole") + F.coalesce(more.cast("long"), F.lit(0)))
-    return out.select("doc_id", "place", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return out.select("doc_id", "src", "place", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 #: The same by windows over all documents.

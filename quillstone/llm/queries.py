@@ -12,6 +12,7 @@ from quillstone.llm.html import extract_pages
 from quillstone.llm.lines import repeated_lines
 from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.packing import pack_texts
+from quillstone.llm.quality import classify
 from quillstone.llm.rules import passes, rule_ledger
 from quillstone.llm.secrets import find_secrets
 from quillstone.llm.toxicity import held_out, toxic_passages
@@ -54,6 +55,11 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "evidence", "host", "path", "score", "kept")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -77,6 +83,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_mix_sources": op8_mix_sources,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_quality_rules": op10_quality_rules,
@@ -84,5 +91,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_mix_sources": mixing.ORACLE,
 }
