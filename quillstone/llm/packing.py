@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import chunks
-from quillstone.llm.tokens import Words
+from quillstone.llm.tokens import hash_spans
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Words whose ids a worker remembers, and whole examples that it places at a time: bounds of memory, not of results.
-REMEMBERED, PLACED = 400_000, 1024
+REMEMBERED, PLACED = 1_500_000, 1024
 
 
 @dataclass(frozen=True)
@@ -28,26 +29,80 @@ class Limits:
     loss: int = 4096
 
 
+_SPACE, _LETTER, _OTHER, _ODD = 0, 1, 2, 3
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[128:] = _ODD
+
+
+def _units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts, ends and classes of units, and the first unit of each text (one more at the end).
+
+    Units are runs of letters (ASCII in lower case, Latin-1) and runs of other ASCII characters. A pre-tokenizer that parts
+    letters from others never looks across these. Words with an apostrophe, with "<|" or with other characters are whole.
+    """
+    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    kind = _CLASS[buf]
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    lead = lead[(buf[lead + 1] != 0x97) & (buf[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    odd = np.flatnonzero((kind == _ODD) | (buf == 0x27))
+    odd = np.concatenate((odd, np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C))))
+    if len(odd):
+        gap = np.flatnonzero(kind == _SPACE)
+        after = np.searchsorted(gap, odd)
+        for at in np.unique(after).tolist():
+            kind[gap[at - 1] + 1 if at else 0 : gap[at]] = _ODD
+    buf = np.where((kind == _LETTER) & (buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
+    edge = np.flatnonzero(np.diff(kind, prepend=np.uint8(_SPACE))).astype(np.int64)
+    own = kind[edge]
+    ends = np.append(edge[1:], len(buf))
+    word = own != _SPACE
+    starts, ends, own = edge[word], ends[word], own[word]
+    return buf, starts, ends, own, np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that never looks across white space: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that never looks across units: each distinct unit is encoded once.
+
+    Fits word_bpe_49k.json: white space dropped, letters parted from others, the last id of a run of letters known by
+    the end-of-word mark.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.is_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known = np.empty(0, np.uint64)  # sorted hashes
-        self.place = np.empty(0, np.int64)
-        self.begin, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.begin, self.count = np.empty(0, np.int64), np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
 
+    def _encode_units(self, text: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units on end, and how many each has."""
+        if letters:
+            ids = np.array(self.tokenizer.encode(" ".join(text), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.is_end[ids]) + 1
+            if len(last) == len(text) and last[-1] == len(ids):
+                return ids, np.diff(last, prepend=0)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+        count = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter((i for x in each for i in x), np.uint32, int(count.sum())), count
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = Words(texts)
-        if not len(words.hash):
+        buf, starts, ends, kind, bounds = _units(texts)
+        if not len(starts):
             return [np.empty(0, np.uint32) for _ in texts]
-        seen, first, index = np.unique(words.hash, return_index=True, return_inverse=True)
+        seen, first, index = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.clear()
         at = np.searchsorted(self.known, seen)
@@ -55,25 +110,41 @@ class WordEncoder:
         have[have] = self.known[at[have]] == seen[have]
         new = np.flatnonzero(~have)
         if len(new):
-            raw = words.buf.tobytes()
-            text = [raw[s:e].decode() for s, e in zip(words.starts[first[new]], words.ends[first[new]], strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            begin = len(self.flat) + np.cumsum(count) - count
-            self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))))
-            place = np.arange(len(self.begin), len(self.begin) + len(ids))
-            self.begin, self.count = np.concatenate((self.begin, begin)), np.concatenate((self.count, count))
-            known = np.concatenate((self.known, seen[new]))
+            raw = buf.tobytes()
+            known, begin, counts, flat, size = [self.known], [self.begin], [self.count], [self.flat], len(self.flat)
+            for letters in (True, False):
+                own = new[(kind[first[new]] == _LETTER) == letters]
+                for lo in range(0, len(own), 2000):
+                    part = own[lo : lo + 2000]
+                    text = [raw[s:e].decode() for s, e in zip(starts[first[part]].tolist(), ends[first[part]].tolist(), strict=True)]
+                    ids, count = self._encode_units(text, letters)
+                    known.append(seen[part])
+                    begin.append(size + np.cumsum(count) - count)
+                    counts.append(count.astype(np.int32))
+                    flat.append(ids)
+                    size += len(ids)
+            known = np.concatenate(known)
             order = np.argsort(known)
-            self.known, self.place = known[order], np.concatenate((self.place, place))[order]
+            self.known, self.begin, self.count = known[order], np.concatenate(begin)[order], np.concatenate(counts)[order]
+            self.flat = np.concatenate(flat)
             at = np.searchsorted(self.known, seen)
-        own = self.place[at][index]
-        count = self.count[own]
-        ends = np.cumsum(count)
-        total = int(ends[-1])
-        ids = self.flat[np.repeat(self.begin[own] - (ends - count), count) + np.arange(total)]
-        bounds = np.concatenate(([0], ends))[words.first]
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        own = at[index]
+        count = self.count[own].astype(np.int64)
+        upto = np.cumsum(count)
+        ids = self.flat[np.repeat(self.begin[own] - (upto - count), count) + np.arange(int(upto[-1]))]
+        cuts = np.concatenate(([0], upto))[bounds]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    """One for each Python worker: the next task finds its words again."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 class Bin:
@@ -220,7 +291,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits
 
     Returns one row per piece: doc_id, start (the document's ids before it), length, ids (32-bit little-endian),
     doc_tokens (the document's ids, end_id with them), sequence_id, offset in the sequence. tokenizer: a file of the
-    tokenizers library whose tokenizer does not look across ASCII white space (such as word_bpe_49k.json).
+    tokenizers library that WordEncoder fits.
 
     Null and empty texts have end_id alone. Repeated rows and rows with a null doc_id are packed like others. An empty
     table gives no rows. Each id is in one piece. A sequence keeps within all three limits, and has limits.tokens ids or
@@ -231,7 +302,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.uint32)
         for batch in batches:
