@@ -1,18 +1,685 @@
-"""Named queries on the driver's tables with their DuckDB counterparts."""
+"""Named queries on the driver's tables with their DuckDB counterparts.
+
+The tables are not an evidence ledger; each query applies one of the library's operators to them in a stated mapping
+(conversations as ledgers, orders as claims, lineitem as links and so on).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions import text as T
+from quillstone.operators import anchors, chain, folds, graph, links, ranking
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+class Tables:
+    """tables.documents is the documents table of a folder."""
 
-def quote_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("k"))
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-QUERIES = {"quote_anchor": quote_anchor}
-ORACLE_SQL: dict[str, str] = {}
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def long(column) -> F.Column:
+    return (F.col(column) if isinstance(column, str) else column).cast("long")
+
+
+
+
+def rows_of_group() -> F.Column:
+    return F.count(F.lit(1))
+
+
+# --- quotes -----------------------------------------------------------------------------------------------------------
+
+_QUOTES = r"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(replace(nfc_normalize(text), chr(160), ' '), '\s+', ' ', 'g')) AS t FROM documents),
+q AS (SELECT item_id, trim(regexp_replace(replace(nfc_normalize(text), chr(160), ' '), '\s+', ' ', 'g')) AS t FROM benchmark),
+m AS (SELECT doc_id, item_id, d.t AS text, q.t AS quote, strpos(d.t, q.t) - 1 AS place FROM d JOIN q ON length(q.t) >= 8 AND strpos(d.t, q.t) > 0),
+a AS (SELECT *, strpos(substr(text, place::INT + 2), quote) > 0 AS ambiguous FROM m)
+"""
+
+
+def _matches(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.col("doc_id").alias("source_id"), T.normalize_text(F.col("text")).alias("text"))
+    quotes = t.benchmark.select(F.col("item_id").alias("quote_id"), T.normalize_text(F.col("text")).alias("quote"))
+    found = anchors.with_ambiguity(anchors.quote_matches(docs, quotes))
+    return found.withColumnsRenamed({"source_id": "doc_id", "quote_id": "item_id"})
+
+
+@query(_QUOTES + "SELECT doc_id, item_id, place AS start_at, place + length(quote) AS end_at, sha256(quote) AS quote_sha256, sha256(text) AS source_sha256 FROM a WHERE NOT ambiguous")
+def quote_anchor(t: Tables) -> DataFrame:
+    end = F.col("place") + F.char_length("quote")
+    return _matches(t).where(~F.col("ambiguous")).select("doc_id", "item_id", F.col("place").alias("start_at"), end.cast("long").alias("end_at"), F.sha2("quote", 256).alias("quote_sha256"), F.sha2("text", 256).alias("source_sha256"))
+
+
+@query(_QUOTES + "SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM a)")
+def quote_miss(t: Tables) -> DataFrame:
+    return t.benchmark.select("item_id").join(_matches(t).select("item_id").distinct(), "item_id", "left_anti")
+
+
+@query(_QUOTES + "SELECT doc_id, item_id FROM a WHERE ambiguous")
+def quote_ambiguous(t: Tables) -> DataFrame:
+    return _matches(t).where("ambiguous").select("doc_id", "item_id")
+
+
+# --- chains -----------------------------------------------------------------------------------------------------------
+
+_LEDGER = """
+WITH s AS (SELECT conv_id, turn, role, sha256(text) AS sha FROM conversations),
+l AS (SELECT *, lag(sha) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM s),
+ledger AS (SELECT conv_id, turn, role, sha, before, CASE WHEN turn % 7 = 3 THEN 'forged' ELSE before END AS prev FROM l)
+"""
+
+
+def _ledger(t: Tables) -> DataFrame:
+    """Conversations as ledgers; every seventh event is forged."""
+    events = t.conversations.select("conv_id", "turn", "role", F.sha2("text", 256).alias("sha"))
+    before = F.lag("sha").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return events.withColumn("prev", F.when(F.col("turn") % 7 == 3, "forged").otherwise(before))
+
+
+@query(_LEDGER + "SELECT conv_id, turn, prev IS NOT DISTINCT FROM before AS link_ok FROM ledger")
+def chain_link_check(t: Tables) -> DataFrame:
+    return chain.check_links(_ledger(t), ["conv_id"], "turn", "prev", "sha").select("conv_id", "turn", "link_ok")
+
+
+@query(
+    """WITH e AS (SELECT conv_id, turn, turn - CASE WHEN conv_id % 5 = 0 AND turn > 2 THEN 1 ELSE 0 END AS seq,
+         min(turn) OVER (PARTITION BY conv_id) AS first_turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+       f AS (SELECT conv_id, turn, n, seq - first_turn + 1 AS seq, 'EV-' || lpad((turn - first_turn + 1)::VARCHAR, 6, '0') AS id FROM e)
+       SELECT conv_id, count(*) AS n_events, count_if(NOT (seq = n AND id = 'EV-' || lpad(n::VARCHAR, 6, '0')))::BIGINT AS n_bad FROM f GROUP BY conv_id"""
+)
+def seq_id_check(t: Tables) -> DataFrame:
+    first = F.min("turn").over(Window.partitionBy("conv_id"))
+    slip = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") > 2), 1).otherwise(0)
+    events = t.conversations.select("conv_id", "turn", (F.col("turn") - slip - first + 1).alias("seq"), F.format_string("EV-%06d", F.col("turn") - first + 1).alias("id"))
+    checked = chain.check_sequence(events, ["conv_id"], "turn", "seq", "id")
+    return checked.groupBy("conv_id").agg(rows_of_group().alias("n_events"), F.count_if(~F.col("seq_ok")).alias("n_bad"))
+
+
+@query(_LEDGER + "SELECT conv_id, count(*) AS event_count, arg_max(sha, turn) AS head, bool_and(prev IS NOT DISTINCT FROM before) AS chain_ok FROM ledger GROUP BY conv_id")
+def ledger_head(t: Tables) -> DataFrame:
+    checked = chain.check_links(_ledger(t), ["conv_id"], "turn", "prev", "sha")
+    return checked.groupBy("conv_id").agg(rows_of_group().alias("event_count"), F.max_by("sha", "turn").alias("head"), folds.every(F.col("link_ok")).alias("chain_ok"))
+
+
+_KINDS = "[('evidence.anchor', 'tool', 'T0'), ('reading.confirm', 'model', 'T2'), ('reading.confirm', 'user', 'T1'), ('decision.record', 'user', 'T1'), ('claim.add', 'model', 'T2')]"
+
+
+@query(
+    """WITH rules(type, actor, trust) AS (VALUES ('evidence.anchor', 'tool', 'T0'), ('reading.confirm', 'model', 'T2'), ('reading.confirm', 'user', 'T1'), ('decision.record', 'user', 'T1'), ('claim.add', 'model', 'T2')),
+       e AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'model' ELSE 'tool' END AS actor,
+                    CASE role WHEN 'user' THEN 'T1' WHEN 'assistant' THEN 'T2' ELSE 'T0' END AS trust,
+                    CASE turn % 4 WHEN 0 THEN 'evidence.anchor' WHEN 1 THEN 'reading.confirm' WHEN 2 THEN 'claim.add' ELSE 'decision.record' END AS type FROM conversations)
+       SELECT conv_id, turn, type, actor FROM e WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.type = e.type AND r.actor = e.actor AND r.trust = e.trust)"""
+)
+def actor_rule_violations(t: Tables) -> DataFrame:
+    from quillstone.sources.ledger import actor_rules
+
+    pick = lambda column, *pairs, other: F.coalesce(*[F.when(column == k, v) for k, v in pairs], F.lit(other))
+    role, kind = F.col("role"), F.col("turn") % 4
+    events = t.conversations.select(
+        "conv_id",
+        "turn",
+        pick(kind, (0, "evidence.anchor"), (1, "reading.confirm"), (2, "claim.add"), other="decision.record").alias("type"),
+        pick(role, ("user", "user"), ("assistant", "model"), other="tool").alias("actor"),
+        pick(role, ("user", "T1"), ("assistant", "T2"), other="T0").alias("trust"),
+    )
+    return events.join(actor_rules(t.spark), ["type", "actor", "trust"], "left_anti").select("conv_id", "turn", "type", "actor")
+
+
+@query(
+    """SELECT event_id, CASE WHEN json_type(props, '$.k') IS NULL THEN 'missing required field k'
+              WHEN json_type(props, '$.k') NOT IN ('BIGINT', 'UBIGINT') THEN 'k must be an integer'
+              WHEN json_extract(props, '$.k')::BIGINT % 10 = 0 THEN 'k must not end in 0' END AS error FROM events"""
+)
+def payload_admission(t: Tables) -> DataFrame:
+    kind = F.expr("schema_of_variant(try_variant_get(try_parse_json(props), '$.k', 'variant'))")
+    value = F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')")
+    error = F.when(kind.isNull(), "missing required field k").when(kind != "BIGINT", "k must be an integer").when(value % 10 == 0, "k must not end in 0")
+    return t.events.select("event_id", error.alias("error"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type")
+def event_type_counts(t: Tables) -> DataFrame:
+    return t.events.groupBy("user_id", "event_type").agg(rows_of_group().alias("n"))
+
+
+# --- folds ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def latest_per_key(t: Tables) -> DataFrame:
+    return folds.latest_per_key(t.events.select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
+
+
+@query("SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS version FROM events")
+def version_assign(t: Tables) -> DataFrame:
+    return folds.numbered(t.events.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"])
+
+
+_READINGS = """
+WITH e AS (SELECT event_id, user_id, event_type, json_extract(props, '$.k')::BIGINT % 20 AS target FROM events),
+confirmed AS (SELECT * FROM e WHERE event_type = 'view'), retracted AS (SELECT DISTINCT user_id, target FROM e WHERE event_type = 'error')
+"""
+
+
+def _readings(t: Tables) -> tuple[DataFrame, DataFrame]:
+    target = F.get_json_object("props", "$.k").cast("long") % 20
+    events = t.events.select("event_id", "user_id", "event_type", target.alias("target"))
+    return events.where("event_type = 'view'"), events.where("event_type = 'error'")
+
+
+@query(_READINGS + "SELECT event_id, user_id, target FROM confirmed c WHERE NOT EXISTS (SELECT 1 FROM retracted r WHERE r.user_id = c.user_id AND r.target = c.target)")
+def effective_readings(t: Tables) -> DataFrame:
+    confirmed, retracted = _readings(t)
+    return folds.effective(confirmed, retracted, ["user_id", "target"]).select("event_id", "user_id", "target")
+
+
+@query(_READINGS + "SELECT user_id, target, count(*) AS n FROM e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM confirmed c WHERE c.user_id = e.user_id AND c.target = e.target) GROUP BY user_id, target")
+def retraction_without_target(t: Tables) -> DataFrame:
+    confirmed, retracted = _readings(t)
+    return retracted.join(confirmed.select("user_id", "target").distinct(), ["user_id", "target"], "left_anti").groupBy("user_id", "target").agg(rows_of_group().alias("n"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id AS key, doc_id::VARCHAR AS alias FROM documents UNION SELECT doc_id, sha256(text) FROM documents)
+       SELECT alias, min(key) AS key FROM a WHERE alias IS NOT NULL GROUP BY alias HAVING count(DISTINCT key) = 1"""
+)
+def alias_unique_resolution(t: Tables) -> DataFrame:
+    return folds.unique_aliases(t.documents.select("doc_id", F.sha2("text", 256).alias("sha")), "doc_id", ["doc_id", "sha"])
+
+
+@query(
+    """SELECT source, count(DISTINCT sha256(text)) AS n_identities, CASE WHEN count(DISTINCT sha256(text)) >= 2 THEN 'evidence_review' ELSE 'concept_memo' END AS tier
+       FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY source"""
+)
+def tier_by_distinct_identity(t: Tables) -> DataFrame:
+    read = t.documents.select("doc_id", "source", F.sha2("text", 256).alias("sha")).join(t.labels.where("quality = 1").select("doc_id"), "doc_id")
+    n = F.count_distinct("sha")
+    return read.groupBy("source").agg(n.alias("n_identities"), F.when(n >= 2, "evidence_review").otherwise("concept_memo").alias("tier"))
+
+
+@query("SELECT source, list_sort(list(DISTINCT lang))::VARCHAR AS scopes, count(*) AS n FROM documents GROUP BY source")
+def scopes_per_source(t: Tables) -> DataFrame:
+    scopes = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set("lang")), ", "), F.lit("]"))
+    return t.documents.groupBy("source").agg(scopes.alias("scopes"), rows_of_group().alias("n"))
+
+
+@query("SELECT sha256(text) AS sha, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source, min(doc_id) AS first_place FROM documents GROUP BY sha256(text)")
+def content_dedupe_last_wins(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.sha2("text", 256).alias("sha"), "doc_id", "source", F.col("doc_id").alias("place"))
+    return folds.last_value_first_place(docs, ["sha"], "place").select("sha", "doc_id", "source", "first_place")
+
+
+# --- texts ------------------------------------------------------------------------------------------------------------
+
+_PRIVATE = {
+    "credential": r"(?i)(?:api[_\s-]?key|secret|token|password)\s*[:=]\s*[^\s]+",
+    "bearer": r"(?i)bearer\s+[a-z0-9._-]{12,}",
+    "key_prefix": r"(?i)\b(?:sk|pk|ghp|gho|ghs|ghu|github_pat|xox[baprs])[-_][a-z0-9_-]{12,}",
+    "drive_path": r"(?i)(?:^|[^a-z0-9])[a-z]:[\\/][^\s]+",
+    "share_path": r"(?:^|\s)\\\\[^\\\s]+\\[^\s]+",
+    "unix_path": r"(?i)(?:^|\s)/(?:users|home|root|etc|private|var|mnt|opt|srv|usr)/[^\s]+",
+    "file_address": r"(?i)\bfile://",
+    "email": r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b",
+}
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS {n}" for n, p in _PRIVATE.items()) + " FROM documents")
+def privacy_gate(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", T.nfkc("text").alias("text"))
+    return docs.select("doc_id", *[flag.alias(name) for name, flag in T.privacy_flags(F.col("text")).items()])
+
+
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(replace(nfc_normalize(text), chr(160), ' '), '\s+', ' ', 'g'))) AS sha FROM documents")
+def normalize_text_hash(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.sha2(T.normalize_text(F.col("text")), 256).alias("sha"))
+
+
+@query()
+def html_blocks(t: Tables) -> DataFrame:
+    from quillstone.sources.html import block_rows
+
+    return block_rows(t.pages.select("page_id", "html"), "page_id")
+
+
+@query(r"SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS section FROM pages")
+def page_section(t: Tables) -> DataFrame:
+    from quillstone.sources.html import block_rows
+
+    blocks = block_rows(t.pages.select("page_id", "html"), "page_id").where("kind = 'heading'")
+    return blocks.groupBy("page_id").agg(F.min_by("text", "pos").alias("section"))
+
+
+@query(
+    r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS authority, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
+        h AS (SELECT *, lower(regexp_replace(regexp_extract(authority, '([^@]*)$', 1), ':\d*$', '')) AS host, regexp_extract(authority, ':(\d+)$', 1) AS port FROM u)
+        SELECT page_id, scheme <> 'https' OR contains(authority, '@') OR port NOT IN ('', '443') OR regexp_matches(host, '^\d{1,3}(\.\d{1,3}){3}$') OR contains(host, '[')
+               OR NOT contains(host, '.') OR regexp_matches(host, '\.(local|internal|localhost)$') OR regexp_matches(q, '(?i)(?:^|&)(?:key|api_key|apikey|token|access_token|secret|password)=[^&]') AS refused FROM h"""
+)
+def url_policy(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.address_refused(F.col("url")).alias("refused"))
+
+
+@query(
+    r"""WITH i AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '^(?:www\.|m\.)', '')
+                 || lower(regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '')) AS identity FROM pages)
+        SELECT identity, count(*) AS n, min(page_id) AS page_id FROM i GROUP BY identity"""
+)
+def url_identity(t: Tables) -> DataFrame:
+    return t.pages.groupBy(T.address_identity(F.col("url")).alias("identity")).agg(rows_of_group().alias("n"), F.min("page_id").alias("page_id"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, source, list_distinct(list_slice(string_split(lower(text), ' '), 1, 30)) AS a FROM documents),
+        p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, len(list_intersect(x.a, y.a)) AS n_same, len(list_distinct(list_concat(x.a, y.a))) AS all_tokens
+              FROM d x JOIN d y ON x.source = y.source AND x.doc_id < y.doc_id)
+        SELECT doc_a, doc_b, n_same::BIGINT AS n_both, all_tokens::BIGINT AS n_all FROM p WHERE 10 * n_same >= 8 * all_tokens"""
+)
+def title_jaccard(t: Tables) -> DataFrame:
+    """Pairs of one source whose first 30 tokens have similarity 0.8: only those that share one of the first tokens in
+    order that any such pair must share are compared (prefix filter)."""
+    tokens = F.array_sort(F.array_distinct(F.slice(F.split(F.lower("text"), " ", -1), 1, 30)))
+    docs = t.documents.select("doc_id", "source", tokens.alias("a"))
+    n = F.size("a")
+    prefix = F.slice("a", F.lit(1), n - F.ceil(n * 8 / F.lit(10)).cast("int") + 1)
+    keyed = docs.select("doc_id", "source", "a", F.explode(prefix).alias("key"))
+    left, right = keyed.withColumnsRenamed({"doc_id": "doc_a", "a": "x"}), keyed.withColumnsRenamed({"doc_id": "doc_b", "a": "y"})
+    both, whole = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
+    pairs = left.join(right, ["source", "key"]).where((F.col("doc_a") < F.col("doc_b")) & (10 * both >= 8 * whole))
+    return pairs.select("doc_a", "doc_b", long(both).alias("n_both"), long(whole).alias("n_all")).distinct()
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) OR (a.source = b.source AND a.n_chars = b.n_chars)),
+       r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+       SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x"""
+)
+def identity_components(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", F.xxhash64(F.sha2("text", 256)).alias("k1"), F.xxhash64("source", "n_chars").alias("k2"))
+    keys = docs.select("doc_id", F.explode(F.array("k1", "k2")).alias("key"))
+    lead = keys.groupBy("key").agg(F.min("doc_id").alias("a"))
+    edges = keys.join(lead, "key").select("a", F.col("doc_id").alias("b"))
+    found = graph.components(edges)
+    return docs.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("component_id"))
+
+
+@query(
+    """SELECT sha256(text) AS sha, arg_min(lang, doc_id) FILTER (WHERE doc_id % 3 <> 0) AS lang, arg_min(source, doc_id) FILTER (WHERE doc_id % 2 = 1) AS source,
+              count(DISTINCT source) > 1 AS conflict, count(*) AS n FROM documents GROUP BY sha256(text)"""
+)
+def bibliography_merge(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "lang", "source", F.sha2("text", 256).alias("sha"))
+    first = lambda column, when: F.min_by(F.when(when, F.col(column)), F.when(when, F.col("doc_id"))).alias(column)
+    return docs.groupBy("sha").agg(first("lang", F.col("doc_id") % 3 != 0), first("source", F.col("doc_id") % 2 == 1), (F.count_distinct("source") > 1).alias("conflict"), rows_of_group().alias("n"))
+
+
+# --- claims and links: orders and lineitem ----------------------------------------------------------------------------
+
+
+def _claims(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderstatus")
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def claims_links_semi(t: Tables) -> DataFrame:
+    found = links.pinned(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber"), t.orders.where("o_orderstatus = 'F'"), ["o_orderkey"])
+    return found.select(F.col("o_orderkey").alias("l_orderkey"), long("l_linenumber").alias("l_linenumber"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 10)")
+def unanchored_claims(t: Tables) -> DataFrame:
+    found = t.lineitem.where("l_quantity >= 10").select(F.col("l_orderkey").alias("o_orderkey"))
+    return links.unlinked(t.orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey"), found, "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N' AND l_linestatus = 'O')")
+def unsupported_claims(t: Tables) -> DataFrame:
+    found = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_linestatus")
+    return links.unlinked(t.orders.select("o_orderkey"), found, "o_orderkey", (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"))
+
+
+@query(
+    """WITH n AS (SELECT o_custkey, o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N') AS met FROM orders WHERE o_orderpriority = '1-URGENT')
+       SELECT c_custkey, count(o_orderkey) AS n_needs, coalesce(bool_and(met), false) AS supported FROM customer LEFT JOIN n ON c_custkey = o_custkey GROUP BY c_custkey"""
+)
+def every_decisive_supported(t: Tables) -> DataFrame:
+    needs = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    supports = t.lineitem.where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return links.all_supported(t.customer, needs, supports, "c_custkey", "o_orderkey")
+
+
+@query(
+    """SELECT p_partkey FROM part WHERE p_size <= 10 AND EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey AND s_acctbal < 0)"""
+)
+def constraint_kill_exists(t: Tables) -> DataFrame:
+    failed = t.supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    hit = t.lineitem.select("l_partkey", "l_suppkey").join(failed, "l_suppkey", "left_semi").select(F.col("l_partkey").alias("p_partkey"))
+    return t.part.where("p_size <= 10").select("p_partkey").join(hit, "p_partkey", "left_semi")
+
+
+_COVERAGE = """
+WITH l AS (SELECT l_orderkey, count(*) AS n, count_if(l_returnflag = 'N')::BIGINT AS n_support, bool_or(l_returnflag = 'R') AS contra FROM lineitem GROUP BY l_orderkey),
+c AS (SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n_claims, coalesce(sum(n), 0)::BIGINT AS n_links, coalesce(sum(n_support), 0)::BIGINT AS n_support,
+             count_if(o_orderkey IS NOT NULL AND coalesce(n_support, 0) = 0)::BIGINT AS n_unsupported, coalesce(bool_or(contra), false) AS contradicted
+      FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY c_custkey, c_mktsegment)
+"""
+
+
+def _coverage(t: Tables) -> DataFrame:
+    # links are summed up per claim before they meet claims and candidates
+    per_claim = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        rows_of_group().alias("n"), F.count_if(F.col("l_returnflag") == "N").alias("n_support"), F.bool_or(F.col("l_returnflag") == "R").alias("contra")
+    )
+    claims = t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(per_claim, "o_orderkey", "left")
+    per_candidate = claims.groupBy("c_custkey").agg(
+        rows_of_group().alias("n_claims"),
+        F.sum(F.coalesce("n", F.lit(0))).alias("n_links"),
+        F.sum(F.coalesce("n_support", F.lit(0))).alias("n_support"),
+        F.count_if(F.coalesce("n_support", F.lit(0)) == 0).alias("n_unsupported"),
+        folds.some(F.col("contra")).alias("contradicted"),
+    )
+    numbers = ("n_claims", "n_links", "n_support", "n_unsupported")
+    joined = t.customer.select("c_custkey", "c_mktsegment").join(per_candidate, "c_custkey", "left")
+    return joined.select("c_custkey", "c_mktsegment", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], F.coalesce("contradicted", F.lit(False)).alias("contradicted"))
+
+
+@query(_COVERAGE + "SELECT c_custkey, n_claims, n_links, n_support, n_unsupported FROM c")
+def coverage_by_candidate(t: Tables) -> DataFrame:
+    return _coverage(t).drop("c_mktsegment", "contradicted")
+
+
+@query(
+    _COVERAGE
+    + """, g AS (SELECT c_custkey, concat_ws('; ', CASE WHEN n_claims = 0 THEN 'no claims' END, CASE WHEN n_links = 0 THEN 'no links' END,
+         CASE WHEN n_unsupported > 0 THEN 'unsupported claims' END, CASE WHEN contradicted THEN 'unresolved contradiction' END, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'prerequisites are missing' END) AS missing FROM c)
+       SELECT c_custkey, missing, CASE WHEN missing = '' THEN 'GO' ELSE 'HOLD' END AS decision FROM g"""
+)
+def assess_gates(t: Tables) -> DataFrame:
+    found = links.gates(
+        _coverage(t),
+        [
+            ("no claims", F.col("n_claims") > 0),
+            ("no links", F.col("n_links") > 0),
+            ("unsupported claims", F.col("n_unsupported") == 0),
+            ("unresolved contradiction", ~F.col("contradicted")),
+            ("prerequisites are missing", F.col("c_mktsegment") != "MACHINERY"),
+        ],
+    )
+    return found.select("c_custkey", F.array_join("missing", "; ").alias("missing"), F.when(F.size("missing") == 0, "GO").otherwise("HOLD").alias("decision"))
+
+
+_RANKED = """
+WITH r AS (SELECT s_suppkey, s_name, greatest(0.0, least(100.0, 0.0 + (s_suppkey % 5) / 4.0::DOUBLE * 0.4::DOUBLE * 100.0 + (s_suppkey % 3) / 4.0::DOUBLE * 0.35::DOUBLE * 100.0 + (s_nationkey % 5) / 4.0::DOUBLE * 0.25::DOUBLE * 100.0
+       - CASE WHEN s_acctbal < 0 THEN 7.5 ELSE 0 END)) AS x FROM supplier),
+s AS (SELECT s_suppkey, s_name, floor(x * 100 + 0.5) / 100 AS score FROM r)
+"""
+
+
+def _ranked(t: Tables) -> DataFrame:
+    parts = [(F.col("s_suppkey") % 5).cast("double"), (F.col("s_suppkey") % 3).cast("double"), (F.col("s_nationkey") % 5).cast("double")]
+    penalty = F.when(F.col("s_acctbal") < 0, 7.5).otherwise(0.0)
+    return t.supplier.select("s_suppkey", "s_name", ranking.weighted_score(parts, (40, 35, 25), penalty).alias("score"))
+
+
+@query(_RANKED + "SELECT s_suppkey, score FROM s")
+def rank_weighted(t: Tables) -> DataFrame:
+    return _ranked(t).select("s_suppkey", "score")
+
+
+@query(_RANKED + "SELECT s_suppkey, score FROM s ORDER BY score DESC, s_name LIMIT 5")
+def rank_top5(t: Tables) -> DataFrame:
+    return _ranked(t).orderBy(F.desc("score"), ranking.utf16_key("s_name")).limit(5).select("s_suppkey", "score")
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY o_custkey")
+def latest_review_exact(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
+    last = F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("last")
+    return rows.groupBy("o_custkey").agg(last).select("o_custkey", "last.*")
+
+
+_SNAPSHOT = """
+WITH s AS (SELECT o_custkey, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS snapshot,
+                  sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus <> 'O')) AS reviewed FROM orders GROUP BY o_custkey)
+"""
+
+
+def _snapshots(t: Tables) -> DataFrame:
+    joined = lambda keys: F.sha2(F.array_join(F.transform(F.sort_array(keys), lambda k: k.cast("string")), ","), 256)
+    closed = F.collect_list(F.when(F.col("o_orderstatus") != "O", F.col("o_orderkey")))
+    found = t.orders.groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("a"), closed.alias("c"))
+    return found.select("o_custkey", joined("a").alias("snapshot"), F.when(F.size("c") > 0, joined("c")).alias("reviewed"))
+
+
+@query(_SNAPSHOT + "SELECT o_custkey, snapshot FROM s")
+def snapshot_hash(t: Tables) -> DataFrame:
+    return _snapshots(t).select("o_custkey", "snapshot")
+
+
+@query(_SNAPSHOT + "SELECT o_custkey, snapshot IS DISTINCT FROM reviewed AS stale FROM s")
+def stale_review(t: Tables) -> DataFrame:
+    return _snapshots(t).select("o_custkey", (~F.col("snapshot").eqNullSafe(F.col("reviewed"))).alias("stale"))
+
+
+@query(
+    """SELECT o_orderkey, kind, id FROM (
+       SELECT l_orderkey AS o_orderkey, 'part' AS kind, l_partkey AS id FROM lineitem UNION SELECT l_orderkey, 'supplier', l_suppkey FROM lineitem
+       UNION SELECT o_orderkey, 'customer', o_custkey FROM orders UNION SELECT o_orderkey, 'order', o_orderkey FROM orders) WHERE o_orderkey % 10 = 0"""
+)
+def basis_closure(t: Tables) -> DataFrame:
+    lines = t.lineitem.where("l_orderkey % 10 = 0").select("l_orderkey", "l_partkey", "l_suppkey")
+    orders = t.orders.where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey")
+    of = lambda rows, key, kind, value: rows.select(F.col(key).alias("o_orderkey"), F.lit(kind).alias("kind"), F.col(value).alias("id"))
+    parts = [of(lines, "l_orderkey", "part", "l_partkey"), of(lines, "l_orderkey", "supplier", "l_suppkey"), of(orders, "o_orderkey", "customer", "o_custkey"), of(orders, "o_orderkey", "order", "o_orderkey")]
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole.distinct()
+
+
+@query(
+    """WITH kept AS (SELECT * FROM part WHERE p_partkey % 50 <> 0), s AS (SELECT * FROM supplier WHERE s_suppkey % 20 <> 0)
+       SELECT 'l_partkey' AS field, l_partkey::VARCHAR AS value, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM kept) GROUP BY l_partkey
+       UNION ALL SELECT 'l_suppkey', l_suppkey::VARCHAR, count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM s) GROUP BY l_suppkey"""
+)
+def fk_dangling(t: Tables) -> DataFrame:
+    """Every fiftieth part and twentieth supplier is taken for missing."""
+    lines = t.lineitem.select("l_partkey", "l_suppkey")
+    parts = links.dangling(lines, "l_partkey", t.part.where("p_partkey % 50 <> 0"), "p_partkey", "l_partkey")
+    return parts.unionByName(links.dangling(lines, "l_suppkey", t.supplier.where("s_suppkey % 20 <> 0"), "s_suppkey", "l_suppkey"))
+
+
+@query(
+    """SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN customer c ON c.c_custkey = o.o_custkey WHERE l_orderkey = o.o_orderkey AND s_nationkey = c.c_nationkey)"""
+)
+def membership_join(t: Tables) -> DataFrame:
+    """Orders whose customer's nation is not among their suppliers' nations."""
+    nations = t.lineitem.select("l_orderkey", "l_suppkey").join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").select(F.col("l_orderkey").alias("o_orderkey"), F.col("s_nationkey").alias("nation"))
+    owners = t.orders.select("o_orderkey", "o_custkey").join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey")
+    return owners.join(nations, ["o_orderkey", "nation"], "left_anti").select("o_orderkey", "o_custkey")
+
+
+# --- supersession -----------------------------------------------------------------------------------------------------
+
+_RECORDS = """
+WITH RECURSIVE r AS (SELECT event_id AS id, user_id, event_type, value, CASE WHEN event_id % 5 <> 0 THEN lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) END AS supersedes FROM events)
+"""
+
+
+def _records(t: Tables) -> DataFrame:
+    before = F.lag("event_id").over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
+    return t.events.select(F.col("event_id").alias("id"), "user_id", "event_type", "value", F.when(F.col("event_id") % 5 != 0, before).alias("supersedes"))
+
+
+@query(
+    _RECORDS
+    + """SELECT user_id, event_type, count(*) AS n_heads, min(id) AS first_head, count(*) > 1 AS ambiguous FROM r
+         WHERE NOT EXISTS (SELECT 1 FROM r s WHERE s.supersedes = r.id) GROUP BY user_id, event_type"""
+)
+def run_heads(t: Tables) -> DataFrame:
+    heads = graph.superseded_heads(_records(t), ["user_id", "event_type"])
+    return heads.groupBy("user_id", "event_type").agg(rows_of_group().alias("n_heads"), F.min("id").alias("first_head"), (rows_of_group() > 1).alias("ambiguous"))
+
+
+@query(
+    _RECORDS
+    + """, w(id, root, depth) AS (SELECT id, id, 0::BIGINT FROM r WHERE supersedes IS NULL UNION ALL SELECT r.id, w.root, w.depth + 1 FROM r JOIN w ON r.supersedes = w.id)
+       SELECT id, root, depth FROM w"""
+)
+def supersession_depth(t: Tables) -> DataFrame:
+    return graph.chain_depths(_records(t).select("id", "supersedes")).where(~F.col("cyclic")).select("id", "root", "depth")
+
+
+@query(
+    """WITH RECURSIVE m AS (SELECT max(event_id) + 1 AS n FROM events), r AS (SELECT event_id AS id, CASE WHEN event_id % 97 < 3 THEN (event_id // 97) * 97 + (event_id % 97 + 1) % 3 WHEN event_id % 97 < 50 THEN event_id - 1 END AS supersedes FROM events),
+       w(id) AS (SELECT id FROM r WHERE supersedes IS NULL OR supersedes NOT IN (SELECT id FROM r) UNION ALL SELECT r.id FROM r JOIN w ON r.supersedes = w.id)
+       SELECT id, id NOT IN (SELECT id FROM w) AS cyclic FROM r"""
+)
+def cycle_check(t: Tables) -> DataFrame:
+    """A ring of three and a tail that leads into it, again and again."""
+    at = F.col("event_id") % 97
+    target = F.when(at < 3, F.floor(F.col("event_id") / 97) * 97 + (at + 1) % 3).when(at < 50, F.col("event_id") - 1)
+    return graph.chain_depths(t.events.select(F.col("event_id").alias("id"), target.cast("long").alias("supersedes"))).select("id", "cyclic")
+
+
+@query(
+    """SELECT user_id, max(event_id) FILTER (WHERE event_type = 'purchase') AS decided, max(event_id) FILTER (WHERE event_type = 'error') AS revoked,
+       coalesce(max(event_id) FILTER (WHERE event_type = 'purchase') > coalesce(max(event_id) FILTER (WHERE event_type = 'error'), -1), false) AS approved FROM events GROUP BY user_id"""
+)
+def finalize_current(t: Tables) -> DataFrame:
+    last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("event_id")))
+    found = t.events.groupBy("user_id").agg(last("purchase").alias("decided"), last("error").alias("revoked"))
+    return found.withColumn("approved", F.coalesce(F.col("decided") > F.coalesce("revoked", F.lit(-1)), F.lit(False)))
+
+
+# --- diffs and contracts ----------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY o_custkey)
+       SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'added' WHEN b.o_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+       FROM a FULL JOIN b ON a.o_custkey = b.o_custkey WHERE a.n IS DISTINCT FROM b.n"""
+)
+def snapshot_diff(t: Tables) -> DataFrame:
+    half = lambda k: t.orders.where(F.col("o_orderkey") % 2 == k).groupBy("o_custkey").agg(rows_of_group().alias("n"))
+    return links.diff(half(0), half(1), ["o_custkey"], "n")
+
+
+@query(
+    """SELECT source, CASE WHEN count_if(toxic = 1) > 0.2 * count(*) THEN 'REJECT' WHEN count_if(quality = 0) > 0.1 * count(*) OR count(*) < 10 THEN 'HOLD' ELSE 'KEEP' END AS decision
+       FROM documents JOIN labels USING (doc_id) GROUP BY source"""
+)
+def evolution_precedence(t: Tables) -> DataFrame:
+    """REJECT goes before HOLD, HOLD before KEEP."""
+    read = t.documents.select("doc_id", "source").join(t.labels, "doc_id").groupBy("source")
+    found = read.agg(rows_of_group().alias("n"), F.count_if(F.col("toxic") == 1).alias("worse"), F.count_if(F.col("quality") == 0).alias("unclear"))
+    decision = F.when(F.col("worse") > 0.2 * F.col("n"), "REJECT").when((F.col("unclear") > 0.1 * F.col("n")) | (F.col("n") < 10), "HOLD").otherwise("KEEP")
+    return found.select("source", decision.alias("decision"))
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'unknown' END AS problem FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+def provisional_outer(t: Tables) -> DataFrame:
+    wanted = t.documents.where("doc_id % 3 = 0").select("doc_id", F.lit(True).alias("wanted"))
+    given = t.labels.select("doc_id", F.lit(True).alias("given"))
+    both = wanted.join(given, "doc_id", "full_outer").where("wanted is null or given is null")
+    return both.select("doc_id", F.when(F.col("given").isNull(), "missing").otherwise("unknown").alias("problem"))
+
+
+_LINES = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)
+"""
+
+
+def _lines(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+
+
+@query(
+    _LINES
+    + """, h AS (SELECT doc_id, n, line, length(line) < 60 AS heading FROM l), s AS (SELECT *, sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM h)
+       SELECT doc_id, section::BIGINT AS section, min(n)::BIGINT AS start_line, max(n)::BIGINT AS end_line, sum(length(line))::BIGINT AS n_chars FROM s GROUP BY doc_id, section"""
+)
+def draft_sections(t: Tables) -> DataFrame:
+    """Lines below a heading (a line under 60 characters) up to the next."""
+    heading = F.when(F.char_length("line") < 60, 1).otherwise(0)
+    rows = _lines(t).withColumn("section", F.sum(heading).over(Window.partitionBy("doc_id").orderBy("n")))
+    return rows.groupBy("doc_id", "section").agg(long(F.min("n")).alias("start_line"), long(F.max("n")).alias("end_line"), F.sum(F.char_length("line")).alias("n_chars"))
+
+
+@query(
+    _LINES
+    + r""", b AS (SELECT doc_id, n, line, (trim(line) = '' OR regexp_matches(line, '^\s*[-*#]') OR n = 0) AS brk FROM l), s AS (SELECT *, sum(brk::INT) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM b)
+       SELECT doc_id, count(DISTINCT block) AS n_blocks, max(len)::BIGINT AS longest FROM (SELECT doc_id, block, count(*) AS len FROM s GROUP BY doc_id, block) GROUP BY doc_id"""
+)
+def judgment_blocks(t: Tables) -> DataFrame:
+    """Blocks begin at a text's start, blank lines, headings and list items."""
+    starts = F.when((F.trim("line") == "") | F.col("line").rlike(r"^\s*[-*#]") | (F.col("n") == 0), 1).otherwise(0)
+    rows = _lines(t).withColumn("block", F.sum(starts).over(Window.partitionBy("doc_id").orderBy("n")))
+    blocks = rows.groupBy("doc_id", "block").agg(rows_of_group().alias("lines"))
+    return blocks.groupBy("doc_id").agg(rows_of_group().alias("n_blocks"), F.max("lines").alias("longest"))
+
+
+@query(_LINES + r"SELECT doc_id, n::BIGINT AS n FROM l WHERE regexp_matches(line, '(?i)提升|提高|优于|下降|降低|超过|改善|gain|improve|outperform|reduce') AND NOT regexp_matches(line, '\[\d{1,3}\]')")
+def effect_claim_lines(t: Tables) -> DataFrame:
+    """Lines that claim an effect and cite nothing."""
+    return _lines(t).where(F.col("line").rlike(T.EFFECT_PATTERN) & ~F.col("line").rlike(r"\[\d{1,3}\]")).select("doc_id", long("n").alias("n"))
+
+
+@query("WITH m AS (SELECT max(event_id) // 2 AS half FROM events) SELECT DISTINCT user_id, event_type FROM events, m WHERE event_id > half EXCEPT SELECT user_id, event_type FROM events, m WHERE event_id <= half")
+def recheck_new_ids(t: Tables) -> DataFrame:
+    """Pairs of the second half of the log that the first half lacks; one aggregate, no self-join."""
+    half = t.events.agg(F.floor(F.max("event_id") / 2).alias("half"))
+    first = t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
+    return first.crossJoin(F.broadcast(half)).where("first_id > half").select("user_id", "event_type")
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) > 1 AS archived FROM orders")
+def migrate_archive_split(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate")
+    last = rows.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("current"))
+    return rows.join(last, "o_custkey").select("o_orderkey", "o_custkey", (F.col("o_orderkey") != F.col("current")).alias("archived"))
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def stream_latest_fold(t: Tables) -> DataFrame:
+    """The latest rows, folded by Structured Streaming over the same table."""
+    from quillstone.streaming.fold import fold_table
+
+    return fold_table(t.spark, f"{t.sf_dir}/events.parquet", ["user_id", "event_type"], "event_id", ["value"])
+
+
+@query("SELECT count(*) AS n_documents, count(DISTINCT source) AS n_sources, sum(regexp_matches(text, '" + _PRIVATE["email"] + "')::INT)::BIGINT AS n_email FROM documents")
+def draft_stats(t: Tables) -> DataFrame:
+    return t.documents.agg(rows_of_group().alias("n_documents"), F.count_distinct("source").alias("n_sources"), F.count_if(F.col("text").rlike(T.PRIVATE_PATTERNS["email"])).alias("n_email"))
+
+
+@query(
+    r"""WITH x AS (SELECT DISTINCT doc_id, lower(rtrim(unnest(regexp_extract_all(text, '10\.\d{4,9}/\S+')), '.,;)')) AS identity FROM documents)
+        SELECT doc_id, identity FROM x WHERE identity NOT IN (SELECT lower(text) FROM benchmark)"""
+)
+def lint_unregistered(t: Tables) -> DataFrame:
+    """Identifiers in texts that no record has."""
+    found = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(10\.\d{4,9}/\S+)"), F.lit(1))).alias("identity"))
+    found = found.select("doc_id", F.lower(F.regexp_replace("identity", r"[.,;)]+$", "")).alias("identity")).distinct()
+    return found.join(t.benchmark.select(F.lower("text").alias("identity")), "identity", "left_anti").select("doc_id", "identity")
