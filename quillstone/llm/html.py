@@ -107,6 +107,8 @@ def parse(html: str) -> Node:
         at = m.end()
         tag = m["tag"]
         if not tag:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                return root  # a comment without an end
             if m["cdata"]:
                 stack[-1].items.append(m["cdata"])
             continue
