@@ -18,7 +18,7 @@ from quillstone.llm.tokens import Words
 #: Labelled documents that the model is fitted on (those of smallest hash), and words that it keeps: documented bounds.
 FITTED, LEXICON = 20_000, 20_000
 #: Weight of the Dirichlet prior, in documents; chance (over all words) of one useless word in the lexicon.
-PRIOR, CHANCE = 0.5, 0.5
+PRIOR, CHANCE = 0.5, 0.1
 #: Words that a passage may hold between two toxic ones, times the mean log odds of these.
 GAP = 25
 
@@ -58,6 +58,19 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.record_batch([pa.array([0, 1], pa.int64()), pa.array([docs[1], words_seen[1]]), pa.array([docs[0], words_seen[0]])], ["word", "n_toxic", "n_clean"])
 
 
+def _family_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, family): the smallest hash of two words on end, which near copies mostly share."""
+    for batch in batches:
+        texts = _plain(batch.column(1))
+        for lo, hi in chunks(texts):
+            doc, h = Words(texts[lo:hi]).shingles(2)
+            least = np.zeros(hi - lo, np.int64)
+            found, first = np.unique(doc, return_index=True)
+            if len(found):
+                least[found] = np.minimum.reduceat(h, first).view(np.int64)
+            yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(least)], ["doc_id", "family"])
+
+
 def _summed(h: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     seen, index = np.unique(h, return_inverse=True)
     return seen, np.stack([np.bincount(index, weights=w, minlength=len(seen)) for w in (toxic, clean)], 1).astype(np.int64)
@@ -105,11 +118,16 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Word log odds with an informative Dirichlet prior, from labelled rows that are not held out."""
+    """Word log odds with an informative Dirichlet prior, from labelled rows that are not held out, one of each family of
+    near copies (texts that share the smallest hash of two words on end) and label."""
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FITTED)
     known = stored(known, "labelled")  # FITTED rows at most: 16 bytes each, fit to be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")
+    # near copies of a document would make its rare words look like evidence: one of each family counts
+    families = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id").mapInArrow(_family_batches, "doc_id long, family long")
+    one = families.join(known, "doc_id").groupBy("family", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    one = stored(one.select("doc_id", "toxic"), "families")  # no more rows than known
+    rows = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("toxic", "text")
     counted = rows.mapInArrow(_count_batches, "word long, n_toxic long, n_clean long").groupBy("word").agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c"))
     counted = stored(counted, "words")
     sums = {r.word: (r.t, r.c) for r in counted.where("word in (0, 1)").collect()}
