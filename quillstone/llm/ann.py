@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import stored
@@ -143,6 +143,14 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by (score descending, id), each id once."""
+    order = np.lexsort((ids, -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    order = order[np.sort(first)][:k]
+    return ids[order], scores[order]
+
+
 def valid_vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, embedding as array<double>) of the rows that take part: not null, not zero, all components finite, of
     the commonest length (the smallest of these)."""
@@ -167,7 +175,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95)
     """
     rows = stored(valid_vectors(rows), "vectors")
     n = rows.count()
-    out_schema = "query_id long, vec_id long, score double"
+    found_schema = "query_id long, vec_ids array<long>, scores array<double>"
     if not n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id", "embedding").limit(FITTED).select("embedding").toPandas()
@@ -199,10 +207,10 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95)
 
     def search(c: pa.Table, q: pa.Table) -> pa.Table:
         if not c.num_rows or not q.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float64()))], ["query_id", "vec_ids", "scores"])
         cid, qid = c["vec_id"].to_numpy(), q["vec_id"].to_numpy()
         cx, qx = _matrix(c["embedding"].combine_chunks(), d), _matrix(q["embedding"].combine_chunks(), d)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for lo in range(0, len(qid), 256):
             s = qx[lo : lo + 256] @ cx.T
             s[qid[lo : lo + 256, None] == cid[None, :]] = -np.inf
@@ -213,14 +221,24 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95)
             for i in range(len(s)):
                 at = np.flatnonzero(near[i])
                 own = (cx[at] * qx[lo + i]).sum(axis=1)  # the same sum for equal vectors, wherever they are
-                best = np.lexsort((cid[at], -own))
-                # copies of a row don't take another's place
-                _, one = np.unique(cid[at][best], return_index=True)
-                best = best[np.sort(one)][:k]
-                found.append((np.full(len(best), qid[lo + i]), cid[at][best], own[best]))
-        return pa.table({name: pa.array(np.concatenate([f[j] for f in found])) for j, name in enumerate(("query_id", "vec_id", "score"))})
-
-    hits = left.groupBy("part", "cb", "qb").cogroup(right.groupBy("part", "cb", "qb")).applyInArrow(search, out_schema)
-    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                found.append(_best(cid[at], own, k))
+        offsets = np.concatenate(([0], np.cumsum([len(i) for i, _ in found]))).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([f[j] for f in found]))) for j in (0, 1)]
+        return pa.table([q["vec_id"].combine_chunks(), *lists], ["query_id", "vec_ids", "scores"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        order = np.argsort(t["query_id"].to_numpy(), kind="stable")
+        ids, vec_ids, scores = t["query_id"].to_numpy()[order], t["vec_ids"].combine_chunks(), t["scores"].combine_chunks()
+        bounds = np.append(np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)), len(ids))
+        out: list[tuple] = []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            own = pa.array(order[lo:hi])
+            best, near = _best(vec_ids.take(own).flatten().to_numpy(), scores.take(own).flatten().to_numpy(), k)
+            out.append((np.full(len(best), ids[lo]), np.arange(1, len(best) + 1, dtype=np.int32), best, near))
+        return pa.table([pa.array(np.concatenate([o[j] for o in out])) for j in range(4)], ["query_id", "rank", "vec_id", "score"])
+
+    hits = left.groupBy("part", "cb", "qb").cogroup(right.groupBy("part", "cb", "qb")).applyInArrow(search, found_schema)
+    # a query's few lists meet in one of many buckets of some hundred queries
+    buckets = max(1, math.ceil(queries.count() / router.probes / 512))
+    hits = hits.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(buckets)).alias("bucket"))
+    return hits.applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
