@@ -1,47 +1,34 @@
-"""Quotes in documents: a substring join by word grams."""
+"""Quotes in documents: a substring join by words."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a gram; a quote needs two more, since its first and last word may be parts of words.
-GRAM = 4
-#: Quotes that are too short for a gram are tried against every document; so many at most go into one plan.
+#: Characters that a quote has at least.
 LEAST_QUOTE = 8
 
 
-def _grams(text: str, inner: bool):
-    """Hashes of GRAM words on end; inner: without the first and the last word."""
-
-    def over(words):
-        n = F.size(words) - (GRAM - 1)
-        place = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(place, lambda i: F.xxhash64(*[F.element_at(words, i + j) for j in range(GRAM)]))
-
-    words = F.split(text, " ", -1)
-    words = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))) if inner else words
-    # bound as a lambda's variable, the words are split once and not for each gram
-    return F.element_at(F.transform(F.array(words), over), 1)
-
-
 def quote_matches(sources: DataFrame, quotes: DataFrame) -> DataFrame:
     """(source_id, quote_id, text, quote, place) where the normalised quote is in the normalised text; place is from 0.
 
     sources: source_id, text; quotes: quote_id, quote, both normalised (single spaces). Quotes under LEAST_QUOTE
-    characters match nothing. A quote of GRAM + 2 words and more is looked up by its first inner gram, an equi-join
-    that Catalyst broadcasts or shuffles by size; only shorter ones are tried against every source.
+    characters match nothing. The first and the last word of a quote may be parts of words, those between are words of
+    the text: a quote is looked up by the longest of them, an equi-join that Catalyst broadcasts or shuffles by size.
+    Only quotes of one or two words are tried against every source.
     """
     quotes = quotes.where(F.char_length("quote") >= LEAST_QUOTE)
-    long = F.size(F.split("quote", " ", -1)) >= GRAM + 2
-    keyed = quotes.where(long).withColumn("gram", F.element_at(_grams("quote", True), 1))
-    posted = sources.select("source_id", F.explode(F.array_distinct(_grams("text", False))).alias("gram"))
-    # grams first and slim; texts are joined for the hits alone
-    hits = posted.join(keyed.select("quote_id", "gram"), "gram").select("source_id", "quote_id").distinct()
-    by_gram = hits.join(sources, "source_id").join(quotes, "quote_id")
+    words = F.split("quote", " ", -1)
+    inner = F.slice(words, 2, F.size(words) - 2)
+    long = F.size(words) >= 3
+    keyed = quotes.where(long).select("quote_id", F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    posted = sources.select("source_id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word"))
+    # words first and slim; texts are joined for the hits alone
+    hits = posted.join(keyed, "word").select("source_id", "quote_id").distinct()
+    by_word = hits.join(sources, "source_id").join(quotes, "quote_id")
     short = sources.join(quotes.where(~long), F.instr(F.col("text"), F.col("quote")) > 0)
     columns = ("source_id", "quote_id", "text", "quote")
-    found = by_gram.select(*columns).unionByName(short.select(*columns))
+    found = by_word.select(*columns).unionByName(short.select(*columns))
     return found.withColumn("place", F.instr(F.col("text"), F.col("quote")).cast("long") - 1).where("place >= 0")
 
 
