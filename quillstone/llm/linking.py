@@ -54,44 +54,94 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def link_lists(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fits, star_from: int = 8) -> DataFrame:
-    """Components of the nodes whose pairs share a key and pass verify.
+def _side(postings: DataFrame, name: str) -> DataFrame:
+    return postings.select("key", F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in postings.columns if c not in ("key", "node")])
 
-    postings: (key, node, attr...), keys of at least two nodes. fits: (a columns prefix, b columns prefix) -> Column,
-    a cheap necessary condition. verify: (a, b) -> those of the pairs that are linked.
 
-    First, in lists of star_from nodes and more, each node is tried against the list's smallest node: a large group
-    of near copies becomes one component at the cost of its length. Then every pair of a list whose ends are in
-    different components is tried, so that no component is lost; lists within one component cost nothing.
-    """
-    spark = postings.sparkSession
-    lists = postings.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("len"))
-    attrs = [c for c in postings.columns if c not in ("key", "node")]
-    long = lists.where(F.col("len") >= star_from).select("key", "lead")
-    lead = postings.select("key", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in attrs])
-    starred = (
-        postings.select("key", F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in attrs])
-        .join(long.join(lead, (long.key == lead.key) & (long.lead == lead.a)).select(long.key, "a", *[f"a_{c}" for c in attrs]), "key")
-        .where((F.col("a") != F.col("b")) & fits("a_", "b_"))
-        .select("a", "b")
-        .distinct()
-    )
-    first = stored(verify(starred), "links")
-    comp = components(first)
-    if first.isEmpty():
-        labelled = postings.withColumn("comp", F.col("node"))
+def _labelled(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """Postings of the lists that more than one component is in, with comp."""
+    if comps.isEmpty():
+        found = postings.withColumn("comp", F.col("node"))
     else:
-        labelled = postings.join(comp.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    labelled = stored(labelled, "lists")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    live = labelled.join(mixed, "key")
-    side = lambda p: live.select("key", F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in (*attrs, "comp")])
-    pairs = (
-        side("a")
-        .join(side("b"), "key")
-        .where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & fits("a_", "b_"))
-        .select("a", "b")
-        .distinct()
-    )
-    second = verify(pairs)
-    return components(first.unionByName(second))
+        found = postings.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = stored(found, "lists")
+    mixed = found.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return stored(found.join(mixed, "key"), "mixed")
+
+
+def _starred(postings: DataFrame, fits: Callable, least: int, smallest: str | None = None) -> DataFrame:
+    """(a, b): in lists of so many nodes, each node with the list's first one (that of the smallest value of an
+    attribute, if named); postings may have comp."""
+    lists = postings.groupBy("key").agg(*([F.min(smallest).alias(smallest)] if smallest else [F.min("node").alias("a")]), F.count(F.lit(1)).alias("len")).where(F.col("len") >= least)
+    if smallest:
+        lists = postings.join(lists.select("key", smallest), ["key", smallest]).groupBy("key").agg(F.min("node").alias("a"))
+    lead = lists.select("key", "a").join(_side(postings, "a"), ["key", "a"])
+    other = F.col("a_comp") != F.col("b_comp") if "comp" in postings.columns else F.col("a") != F.col("b")
+    return _side(postings, "b").join(lead, "key").where(other & fits("a_", "b_")).select("a", "b").distinct()
+
+
+def _crossing(postings: DataFrame, fits: Callable) -> DataFrame:
+    """(a, b): all pairs of a list whose ends are in different components."""
+    pairs = _side(postings, "a").join(_side(postings, "b"), "key")
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & fits("a_", "b_")).select("a", "b").distinct()
+
+
+def _nodes(*pairs: DataFrame) -> DataFrame:
+    each = [p.select(F.col(c).alias("node")) for p in pairs for c in ("a", "b")]
+    whole = each[0]
+    for more in each[1:]:
+        whole = whole.union(more)
+    return whole.distinct()
+
+
+def link_lists(
+    postings: DataFrame,
+    fits: Callable,
+    sift: Callable[[DataFrame], DataFrame],
+    fetch: Callable[[DataFrame], DataFrame],
+    confirm: Callable[[DataFrame, DataFrame], DataFrame],
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+    fine_fits: Callable | None = None,
+    star_from: int = 8,
+    long_from: int = 33,
+) -> DataFrame:
+    """Components of the nodes whose pairs share a key and are linked.
+
+    postings: (key, node, attr...). fits: (prefix of a's columns, of b's) -> Column, a cheap necessary condition on attrs.
+    sift: (a, b) -> those of the pairs that may be linked. fetch: (node) -> what confirm needs of the nodes. confirm:
+    (a, b), fetched -> the linked pairs. refine: fetched -> (key, node, first, attr...), by keys of which any linked pair
+    among the fetched nodes shares one for which fine_fits holds; the node with the smallest `first` of a list is the one
+    that most of the others may be linked with.
+
+    First, in lists of star_from nodes and more, each node is tried against the list's smallest node: a large group of
+    near copies becomes one component at the cost of its length. Lists within one component need nothing more. Of the
+    others, short lists have all pairs tried whose ends are in different components; the nodes of lists of long_from
+    nodes and more are posted anew by the finer keys (where there is a refine), tried against their lists' first nodes
+    again, and then pair by pair. No component is lost on the way.
+    """
+    starred = stored(sift(_starred(postings, fits, star_from)), "starred")
+    links = stored(confirm(starred, fetch(_nodes(starred))), "links") if not starred.isEmpty() else starred
+    comps = components(links)
+    live = _labelled(postings, comps)
+    if refine is None:
+        pairs = stored(sift(_crossing(live, fits)), "crossing")
+        return components(links.unionByName(confirm(pairs, fetch(_nodes(pairs))))) if not pairs.isEmpty() else comps
+
+    lengths = live.groupBy("key").agg((F.count(F.lit(1)) >= long_from).alias("long"))
+    live = stored(live.join(lengths, "key"), "lengths")
+    pairs = stored(sift(_crossing(live.where("not long").drop("long"), fits)), "crossing")
+    entangled = stored(live.where("long").select("node").distinct(), "entangled")
+    if pairs.isEmpty() and entangled.isEmpty():
+        return comps
+    fetched = fetch(_nodes(pairs).union(entangled).distinct())
+    links = stored(links.unionByName(confirm(pairs, fetched)), "links")
+    if not entangled.isEmpty():
+        comps = components(links)
+        finer = stored(refine(fetched.join(entangled, "node", "left_semi")), "finer")
+        fine_fits = fine_fits or fits
+        starred = stored(sift(_starred(_labelled(finer, comps), fine_fits, star_from, "first")), "starred")
+        links = stored(links.unionByName(confirm(starred, fetched)), "links")
+        comps = components(links)
+        pairs = stored(sift(_crossing(_labelled(finer, comps), fine_fits)), "crossing")
+        links = links.unionByName(confirm(pairs, fetched))
+    return components(links)

@@ -98,7 +98,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     Method: texts with the same set are one node. A node posts its signature's (coordinate, value) pairs. Two nodes that
     agree in `matches` coordinates share a pair among the first (coordinates - matches + 1) of each, in any fixed order;
     in order of ascending frequency those lists are short, and pairs that occur once are skipped outright. Agreeing
-    coordinates are counted by merging the two signatures, and links are confirmed on the full sets.
+    coordinates are counted by merging the two signatures, and links are confirmed on the full sets. Where long
+    lists hold nodes of different classes after a first round, these nodes are posted by the rarest shingles of their full
+    sets, so that large groups of documents just below the threshold don't make all their pairs.
     """
     docs = docs.select("doc_id", "text")
     signed = docs.select(F.struct("doc_id", row_key("doc_id", "text").alias("row_key")).alias("id"), "text")
@@ -118,28 +120,50 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     )
     ordered = stored(ordered, "postings")
 
-    signatures = nodes.select("node", F.col("n_shingles").alias("n"), "sig")
+    signatures = nodes.select("node", "sig")
     texts = docs.withColumn("row_key", row_key("doc_id", "text"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = signatures.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        right = signatures.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        likely = stored(pairs.join(left, "a").join(right, "b").where(agree >= matches).select("a", "b", "na", "nb"), "likely")
-        if likely.isEmpty():
-            return likely.select("a", "b")
-        wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        # one row for each node that a pair names; its text gives the full set
+    def fetch(wanted: DataFrame) -> DataFrame:
+        """(node, items): full sets of the wanted nodes, from one row's text each."""
         source = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
         source = texts.join(source, "row_key").select("node", "text").dropDuplicates(["node"])
-        sets = stored(source.mapInArrow(_shingle_sets(words), "node long, items array<long>"), "sets")
-        pairs = likely.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
+        return stored(source.mapInArrow(_shingle_sets(words), "node long, items array<long>"), "sets")
+
+    def refine(sets: DataFrame) -> DataFrame:
+        """Postings under each set's first shingles by ascending frequency among these sets.
+
+        Linked sets share percent of the larger one at least; so they share one of the first n - that + 1 of each, in
+        any fixed order. Shingles of one node come first, and a node with too many of them has no links.
+        """
+        items = sets.select("node", F.size("items").cast("long").alias("n"), F.explode("items").alias("key"))
+        frequent = items.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        ordered = items.join(frequent, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
+        need = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
+        prefix = F.slice("keys", F.lit(1), F.size("keys") - need + 1)
+        posted = ordered.where(F.size("keys") >= need).select("node", "n", F.size("keys").alias("c"), F.posexplode(prefix).alias("i", "k"))
+        posted = stored(posted.select(F.col("k.key").alias("key"), "node", "n", (F.col("c") - F.col("i")).cast("long").alias("rest")), "prefixes")
+        # where a list's key is the first that two sets share, they share `rest` at most; the list's smallest set is the
+        # best that a node can meet
+        least = posted.groupBy("key").agg(F.min("n").alias("low"))
+        posted = posted.withColumn("slack", (100 + percent) * F.col("rest") - percent * F.col("n"))
+        return posted.join(least, "key").where(F.col("slack") >= percent * F.col("low")).withColumn("first", -F.col("slack")).drop("low", "slack")
+
+    def sift(pairs: DataFrame) -> DataFrame:
+        left = signatures.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
+        right = signatures.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+        agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        return pairs.join(left, "a").join(right, "b").where(agree >= matches).select("a", "b")
+
+    def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
         both = F.size(F.array_intersect("ia", "ib")).cast("long")
-        return pairs.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+        return pairs.where(100 * both >= percent * (F.size("ia") + F.size("ib") - both)).select("a", "b")
 
     # |A and B| <= the smaller set, so the sizes alone rule pairs out
     fits = lambda a, b: (100 * F.least(F.col(f"{a}n"), F.col(f"{b}n")) >= percent * F.greatest(F.col(f"{a}n"), F.col(f"{b}n")))
-    classes = link_lists(ordered, verify, fits)
+    # |A and B| of those at least is shared by linked sets, whose first common key this is
+    fine_fits = lambda a, b: (100 + percent) * F.least(F.col(f"{a}rest"), F.col(f"{b}rest")) >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))
+    classes = link_lists(ordered, fits, sift, fetch, confirm, refine, fine_fits)
 
     least = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = least.groupBy("comp").agg(F.min("least").alias("component_id"))
