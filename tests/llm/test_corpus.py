@@ -110,6 +110,61 @@ def test_repeated_lines_against_brute_force(spark, most):
     assert {r.doc_id: r.removed for r in got} == {i: gone.get(i, []) for i, _ in rows}
 
 
+def edited(line, n, r, letters):
+    own = list(line)
+    for _ in range(n):
+        j = r.randrange(len(own))
+        own[j : j + r.choice([0, 1])] = r.choice([*letters, ""])
+    return "".join(own)
+
+
+def test_lines_within_the_edits_of_their_length_share_a_key():
+    r, n_linked = random.Random(12), 0
+    for letters in ("ab", "abcdefghijklmnopqrstuvwxyz é\U0001f600"):
+        for n in [16, 17, 40, 62, 63, 64, 65, 66, 90, 126, 127, 128, 131, 200, 255, 256, 260, 400, 511, 512, 600, 1023, 1024, 1500] * 4:
+            base = "".join(r.choice(letters) for _ in range(n))
+            texts = [base, *(edited(base, r.randint(1, lines.allowed(n)), r, letters) for _ in range(6))]
+            own = lines.Lines(["\n".join(texts)])
+            keys = [set() for _ in texts]
+            for at, key in lines._keys(own, np.arange(len(texts)), None):
+                for i, k in zip(at.tolist(), key.tolist(), strict=True):
+                    keys[i].add(k)
+            for i, a in enumerate(texts):
+                for j, b in enumerate(texts[:i]):
+                    if lines.within(a, b, lines.allowed(min(len(a), len(b)))):
+                        n_linked += 1
+                        assert keys[i] & keys[j], (a, b)
+    assert n_linked > 1000
+
+
+def test_repeated_lines_by_length_against_brute_force(spark):
+    r, letters, texts = random.Random(13), "abcdefgh ", []
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    for n in (30, 63, 64, 80, 127, 130, 162, 255, 300, 609, 1100):
+        base = word(n)
+        texts += [base, *(edited(base, r.randint(1, lines.allowed(n) + 2), r, letters) for _ in range(6))]
+    # long lists: many lines with one opening, linked in pairs; and lines of few grams
+    opening = word(120)
+    for _ in range(45):
+        own = opening + word(30)
+        texts += [own, edited(own, 3, r, letters)]
+    texts += ["=" * 70 + word(3) + "=" * 60 for _ in range(40)]
+    texts = sorted(set(texts))
+    # one word changed in a line of 130: three edits
+    first = ("the committee will meet again on the second day of each month to hear what the members have to say on the plan and its cost to us.")
+    texts += [first, first.replace("second", "secret")]
+    assert len(first) == 130 and distance(*texts[-2:]) == 3
+    union = Union()
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if abs(len(a) - len(b)) <= 12 and lines.within(a, b, lines.allowed(min(len(a), len(b)))):
+                union.join(i, j)
+    want = {i for i in range(len(texts)) if union.find(i) != i}
+    assert len(texts) - 1 in want
+    got = lines.repeated_lines(table(spark, list(enumerate(texts)))).collect()
+    assert {x.doc_id for x in got if x.removed} == want
+
+
 def test_dropping_lines_keeps_columns(spark):
     docs = clashing(table(spark, [(1, "first line\nsecond"), (2, "first line"), (3, "first line\nown\n"), (4, None), (5, ""), (None, "second\nlast")]))
     got = lines.drop_repeated_lines(docs)
