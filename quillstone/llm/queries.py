@@ -90,7 +90,5 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_nearest_neighbours": op6_nearest_neighbours,
-    "op7_quality_classifier": op7_quality_classifier,
     "op8_mix_sources": mixing.ORACLE,
 }

@@ -251,6 +251,13 @@ def test_mixing_matches_oracle(spark):
     assert mixing.mix_sources(table(spark, [])).count() == 0
 
 
+def test_announced_oracles_are_sql():
+    import __spark_entry__
+
+    found = __spark_entry__.oracle_sql()
+    assert "op8_mix_sources" in found and all(isinstance(sql, str) for sql in found.values())
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows, labels = quality_rows()
     base = rows[1][1]
