@@ -5,7 +5,7 @@ Nodes are longs. Everything is kept in tables of the shared folder; nothing is g
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +60,7 @@ def _side(postings: DataFrame, name: str) -> DataFrame:
 
 def _labelled(postings: DataFrame, comps: DataFrame) -> DataFrame:
     """Postings of the lists that more than one component is in, with comp."""
-    if comps.isEmpty():
-        found = postings.withColumn("comp", F.col("node"))
-    else:
-        found = postings.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = postings.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     found = stored(found, "lists")
     mixed = found.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     return stored(found.join(mixed, "key"), "mixed")
@@ -100,7 +97,7 @@ def link_lists(
     sift: Callable[[DataFrame], DataFrame],
     fetch: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame, DataFrame], DataFrame],
-    refine: Callable[[DataFrame], DataFrame] | None = None,
+    refine: Sequence[Callable[[DataFrame], DataFrame]],
     fine_fits: Callable | None = None,
     star_from: int = 8,
     long_from: int = 33,
@@ -109,39 +106,39 @@ def link_lists(
 
     postings: (key, node, attr...). fits: (prefix of a's columns, of b's) -> Column, a cheap necessary condition on attrs.
     sift: (a, b) -> those of the pairs that may be linked. fetch: (node) -> what confirm needs of the nodes. confirm:
-    (a, b), fetched -> the linked pairs. refine: fetched -> (key, node, first, attr...), by keys of which any linked pair
-    among the fetched nodes shares one for which fine_fits holds; the node with the smallest `first` of a list is the one
-    that most of the others may be linked with.
+    (a, b), fetched -> the linked pairs. refine: each fetched -> (key, node, first, hub, attr...), by keys of which any
+    linked pair among the fetched nodes shares one for which fine_fits holds; the node with the smallest `first` of a
+    list is the one that most of the others may be linked with; where hub is true, it alone need be tried.
 
     First, in lists of star_from nodes and more, each node is tried against the list's smallest node: a large group of
     near copies becomes one component at the cost of its length. Lists within one component need nothing more. Of the
     others, short lists have all pairs tried whose ends are in different components; the nodes of lists of long_from
-    nodes and more are posted anew by the finer keys (where there is a refine), tried against their lists' first nodes
-    again, and then pair by pair. No component is lost on the way.
+    nodes and more are posted anew by the finer keys of `refine`, one after the other, and tried in the same way; lists
+    that are long by the last of them are tried pair by pair. No component is lost on the way.
     """
     starred = stored(sift(_starred(postings, fits, star_from)), "starred")
     links = stored(confirm(starred, fetch(_nodes(starred))), "links") if not starred.isEmpty() else starred
     comps = components(links)
-    live = _labelled(postings, comps)
-    if refine is None:
-        pairs = stored(sift(_crossing(live, fits)), "crossing")
-        return components(links.unionByName(confirm(pairs, fetch(_nodes(pairs))))) if not pairs.isEmpty() else comps
-
-    lengths = live.groupBy("key").agg((F.count(F.lit(1)) >= long_from).alias("long"))
-    live = stored(live.join(lengths, "key"), "lengths")
-    pairs = stored(sift(_crossing(live.where("not long").drop("long"), fits)), "crossing")
-    entangled = stored(live.where("long").select("node").distinct(), "entangled")
-    if pairs.isEmpty() and entangled.isEmpty():
-        return comps
-    fetched = fetch(_nodes(pairs).union(entangled).distinct())
-    links = stored(links.unionByName(confirm(pairs, fetched)), "links")
-    if not entangled.isEmpty():
+    fetched = None
+    for level in range(len(refine) + 1):
+        live = _labelled(postings, comps)
+        lengths = live.groupBy("key").agg((F.lit(level < len(refine)) & (F.count(F.lit(1)) >= long_from)).alias("long"))
+        live = stored(live.join(lengths, "key"), "lengths")
+        pairs = stored(sift(_crossing(live.where("not long").drop("long"), fits)), "crossing")
+        entangled = stored(live.where("long").select("node").distinct(), "entangled")
+        if pairs.isEmpty() and entangled.isEmpty():
+            return comps
+        if fetched is None:
+            fetched = fetch(_nodes(pairs).union(entangled).distinct())
+        links = stored(links.unionByName(confirm(pairs, fetched)), "links")
         comps = components(links)
-        finer = stored(refine(fetched.join(entangled, "node", "left_semi")), "finer")
-        fine_fits = fine_fits or fits
-        starred = stored(sift(_starred(_labelled(finer, comps), fine_fits, star_from, "first")), "starred")
-        links = stored(links.unionByName(confirm(starred, fetched)), "links")
+        if entangled.isEmpty():
+            return comps
+        fits = fine_fits or fits
+        finer = stored(refine[level](fetched.join(entangled, "node", "left_semi")), "finer")
+        own = _labelled(finer, comps)
+        starred = _starred(own.where("not hub"), fits, star_from, "first").union(_starred(own.where("hub"), fits, 2, "first"))
+        links = stored(links.unionByName(confirm(stored(sift(starred.distinct()), "starred"), fetched)), "links")
         comps = components(links)
-        pairs = stored(sift(_crossing(_labelled(finer, comps), fine_fits)), "crossing")
-        links = links.unionByName(confirm(pairs, fetched))
-    return components(links)
+        postings = finer.where("not hub").drop("hub", "first")
+    return comps

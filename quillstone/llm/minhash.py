@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         # best that a node can meet
         least = posted.groupBy("key").agg(F.min("n").alias("low"))
         posted = posted.withColumn("slack", (100 + percent) * F.col("rest") - percent * F.col("n"))
-        return posted.join(least, "key").where(F.col("slack") >= percent * F.col("low")).withColumn("first", -F.col("slack")).drop("low", "slack")
+        return posted.join(least, "key").where(F.col("slack") >= percent * F.col("low")).withColumn("first", -F.col("slack")).withColumn("hub", F.lit(False)).drop("low", "slack")
 
     def sift(pairs: DataFrame) -> DataFrame:
         left = signatures.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     fits = lambda a, b: (100 * F.least(F.col(f"{a}n"), F.col(f"{b}n")) >= percent * F.greatest(F.col(f"{a}n"), F.col(f"{b}n")))
     # |A and B| of those at least is shared by linked sets, whose first common key this is
     fine_fits = lambda a, b: (100 + percent) * F.least(F.col(f"{a}rest"), F.col(f"{b}rest")) >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))
-    classes = link_lists(ordered, fits, sift, fetch, confirm, refine, fine_fits)
+    classes = link_lists(ordered, fits, sift, fetch, confirm, [refine], fine_fits)
 
     least = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = least.groupBy("comp").agg(F.min("least").alias("component_id"))

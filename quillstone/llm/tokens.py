@@ -14,7 +14,7 @@ _LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, _BLOCK)
@@ -44,7 +44,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         base = int(starts[at])
         upto = max(int(np.searchsorted(ends, base + _BLOCK, "right")), at + 1)
         top = int(ends[upto - 1])
-        power, inverse = _tables(top - base)
+        power, inverse = powers(top - base)
         total = np.concatenate((np.zeros(1, U), np.cumsum((buf[base:top].astype(U) + U(1)) * power[: top - base])))
         s, e = starts[at:upto] - base, ends[at:upto] - base
         out[at:upto] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))

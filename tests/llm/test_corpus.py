@@ -279,3 +279,31 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     n = packed.groupBy("doc_id").agg(F.sum("length").alias("n")).count()
     assert n == docs.select("doc_id").distinct().count()
+
+
+def test_lines_of_one_template_do_not_make_all_their_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    codes = [f"{r.randrange(16**6):06x}" for _ in range(2000)]
+    rows = [(i, f"Record {c} was processed by the server") for i, c in enumerate(codes)]
+    tried = []
+    link_lists = lines.link_lists
+
+    def counting(postings, fits, sift, fetch, confirm, refine):
+        def counted(pairs, found):
+            tried.append(pairs.count())
+            return confirm(pairs, found)
+
+        return link_lists(postings, fits, sift, fetch, counted, refine)
+
+    monkeypatch.setattr(lines, "link_lists", counting)
+    got = lines.repeated_lines(table(spark, rows), 1).collect()
+    assert sum(tried) < 20 * len(rows)
+    union = Union()
+    holes = {}
+    for c in codes:  # within one edit: all but one digit agree, or five digits in order
+        for k in [(i, c[:i] + c[i + 1 :]) for i in range(6)]:
+            union.join(holes.setdefault(k, c), c)
+    want = {}
+    for i, c in enumerate(codes):
+        want.setdefault(union.find(c), []).append(i)
+    assert sorted(x.doc_id for x in got if x.removed) == sorted(i for own in want.values() for i in own[1:])
