@@ -8,21 +8,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import stored
 
-#: Rows (of smallest hash) that the index is fitted on, and of these the ones that recall is measured with.
-FITTED, MEASURED = 8192, 512
-#: Rows that a partition is meant to hold, the most partitions, and the rows that a task compares at a time.
+#: Rows (of smallest hash) that the index is fitted on, and the next ones, which its recall is measured with.
+FITTED, MEASURED = 8192, 256
+#: Rows that a partition is meant to hold, the most partitions that the sample can tell apart, and the rows that a task
+#: compares at a time.
 PART_ROWS, MOST_PARTS, BLOCK = 2048, 128, 32_768
 NEIGHBOURS, HIDDEN = 12, 96
 
 
 @dataclass
 class Router:
-    """A classifier with one hidden layer: vector -> probability of each partition; probes: partitions to search."""
+    """A classifier with one hidden layer: vector -> probability of each partition; probes: partitions to search;
+    recall: what they reach for rows that the classifier has not seen, against exact search of the whole table."""
 
     w1: np.ndarray
     b1: np.ndarray
@@ -89,8 +91,8 @@ def _balanced(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.Gener
     return part
 
 
-def fit_router(x: np.ndarray, parts: int, recall: float = 0.95, seed: int = 7) -> Router:
-    """x: sample rows. Probes are as many as reach the recall on the measured rows (all partitions at most)."""
+def fit_router(x: np.ndarray, parts: int, seed: int = 7) -> Router:
+    """x: sample rows. The last layer's bias is set such that the sample is dealt evenly; probes are all partitions."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     d = x.shape[1]
@@ -126,19 +128,28 @@ def fit_router(x: np.ndarray, parts: int, recall: float = 0.95, seed: int = 7) -
                 first[i] += 0.1 * (grad - first[i])
                 second[i] += 0.01 * (grad * grad - second[i])
                 weights[i] -= rates[i] * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
-    router = Router(*weights, probes=1, recall=0.0)
-    ranked = router.ranked(x)
-    own = ranked[:, 0]
-    tried = rng.permutation(len(x))[:MEASURED]
-    place = np.argsort(ranked[tried], axis=1)  # of each partition, in the query's order
-    rank = np.take_along_axis(place, own[graph[tried]], axis=1)
-    for probes in range(1, parts + 1):
-        router.probes, router.recall = probes, float((rank < probes).mean())
-        if router.recall >= recall:
-            break
+    router = Router(*weights, probes=parts, recall=1.0)
+    z = router.logits(x)
+    shift = np.zeros(parts)
+    for step in range(200):
+        load = np.bincount((z + shift).argmax(axis=1), minlength=parts) / len(x) * parts
+        shift -= 0.3 * 0.98**step * np.log(np.maximum(load, 0.05))
+    router.b2 = router.b2 + (shift - shift.mean()).astype(np.float32)
     return router
 
 
+def set_probes(router: Router, queries: np.ndarray, parts: np.ndarray, recall: float) -> None:
+    """queries: a row for each found neighbour, that of its query; parts: the neighbour's partition. Sets the fewest
+    probes that reach the recall."""
+    if not len(queries):
+        return
+    place = np.argsort(router.ranked(queries), axis=1)
+    rank = np.sort(place[np.arange(len(queries)), parts])
+    at = min(len(rank) - 1, math.ceil(recall * len(rank)) - 1)
+    router.probes = int(rank[at]) + 1
+    router.recall = float((rank < router.probes).mean())
+
+
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
@@ -170,32 +181,84 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95)
     table gives no rows.
 
     The index is fitted on FITTED rows and holds every row, in the partition the classifier finds likeliest. A query
-    searches the `probes` likeliest partitions, set such that the sample's measured recall is at least `recall`. Partitions
-    are dealt in blocks by hash, so that one of many equal vectors is no larger task than any other.
+    searches the `probes` likeliest partitions, set such that MEASURED other rows, searched exactly in the whole table,
+    have a recall of at least `recall`; one that finds too few rows there searches all partitions. Partitions are dealt
+    in blocks by hash, so that one of many equal vectors is no larger task than any other.
     """
     rows = stored(valid_vectors(rows), "vectors")
     n = rows.count()
-    found_schema = "query_id long, vec_ids array<long>, scores array<double>"
     if not n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id", "embedding").limit(FITTED).select("embedding").toPandas()
+    hashed = rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id", "embedding")
+    sample = hashed.limit(FITTED + MEASURED).select("vec_id", "embedding").toPandas()
     x = np.stack(sample["embedding"].to_numpy())
     d = x.shape[1]
-    router = fit_router(x, min(MOST_PARTS, math.ceil(n / PART_ROWS)), recall)
+    fitted = min(FITTED, max(len(x) - MEASURED, len(x) // 2))
+    router = fit_router(x[:fitted], min(MOST_PARTS, math.ceil(n / PART_ROWS)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             part = router.ranked(_matrix(b.column(1), d))[:, 0] if b.num_rows else np.empty(0, np.int64)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(part.astype(np.int32))], ["vec_id", "embedding", "part"])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part = router.ranked(_matrix(b.column(1), d))[:, : router.probes] if b.num_rows else np.empty((0, router.probes), np.int64)
-            offsets = np.arange(0, (b.num_rows + 1) * router.probes, router.probes, dtype=np.int32)
-            yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.ravel().astype(np.int32)))], ["vec_id", "embedding", "parts"])
-
     indexed = stored(rows.mapInArrow(assign, "vec_id long, embedding array<double>, part int"), "index")
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    if router.parts > 1:
+        seen = x[fitted:]
+        measured = _exact(indexed, sample["vec_id"].to_numpy()[fitted:], seen, k)
+        set_probes(router, seen[[r.i for r in measured]], np.array([r.part for r in measured], np.int64), recall)
+
+    def route(probes: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                part = router.ranked(_matrix(b.column(1), d))[:, :probes] if b.num_rows else np.empty((0, probes), np.int64)
+                offsets = np.arange(0, (b.num_rows + 1) * probes, probes, dtype=np.int32)
+                yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.ravel().astype(np.int32)))], ["vec_id", "embedding", "parts"])
+
+        return run
+
+    queries = stored(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    found = stored(_search(indexed, queries, route(router.probes), router.probes, d, k), "found")
+    if router.probes == router.parts:
+        return found
+    # queries whose partitions hold too few rows search all
+    want = min(k, rows.select("vec_id").distinct().limit(k + 1).count() - 1)
+    short = stored(queries.join(found.where(F.col("rank") == want).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "short")
+    if want < 1 or short.isEmpty():
+        return found
+    rest = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+    return rest.unionByName(_search(indexed, short, route(router.parts), router.parts, d, k))
+
+
+def _exact(indexed: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> list:
+    """(i, part) of the k nearest rows of each of the queries x (so many are MEASURED at most), by exact search."""
+    d = x.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, part, row = np.full((len(x), k), -np.inf), np.full((len(x), k), -1, np.int64), np.full((len(x), k), -1, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = b.column(0).to_numpy()
+            s = x @ _matrix(b.column(1), d).T
+            s[ids[:, None] == own[None, :]] = -np.inf
+            score = np.concatenate([score, s], axis=1)
+            part = np.concatenate([part, np.broadcast_to(b.column(2).to_numpy(), s.shape)], axis=1)
+            row = np.concatenate([row, np.broadcast_to(own, s.shape)], axis=1)
+            best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            score, part, row = (np.take_along_axis(v, best, axis=1) for v in (score, part, row))
+        i = np.repeat(np.arange(len(x), dtype=np.int32), k)
+        ok = score.ravel() > -np.inf
+        yield pa.record_batch([pa.array(i[ok]), pa.array(score.ravel()[ok]), pa.array(part.ravel()[ok]), pa.array(row.ravel()[ok])], ["i", "score", "part", "vec_id"])
+
+    near = indexed.mapInArrow(run, "i int, score double, part long, vec_id long").groupBy("i", "vec_id").agg(F.max(F.struct("score", "part")).alias("best"))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("best.score"), "vec_id"))).where(F.col("rank") <= k)
+    return near.select("i", "best.part").collect()
+
+
+def _search(indexed: DataFrame, queries: DataFrame, route, probes: int, d: int, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest in the routed partitions."""
+    found_schema = "query_id long, vec_ids array<long>, scores array<double>"
+    n_queries = queries.count()
     queries = stored(queries.mapInArrow(route, "vec_id long, embedding array<double>, parts array<int>").select("vec_id", "embedding", F.explode("parts").alias("part")), "routes")
 
     # blocks of a partition: those of candidates times those of queries; one row of counts for each partition
@@ -211,15 +274,22 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95)
         cid, qid = c["vec_id"].to_numpy(), q["vec_id"].to_numpy()
         cx, qx = _matrix(c["embedding"].combine_chunks(), d), _matrix(q["embedding"].combine_chunks(), d)
         found: list[tuple[np.ndarray, np.ndarray]] = []
+        order = np.argsort(cid, kind="stable")
+        cid, cx = cid[order], cx[order]
+        first = np.flatnonzero(np.diff(cid, prepend=cid[0] - 1))  # of each id
+        ends = np.append(first[1:], len(cid))
         for lo in range(0, len(qid), 256):
             s = qx[lo : lo + 256] @ cx.T
             s[qid[lo : lo + 256, None] == cid[None, :]] = -np.inf
-            take = min(k, len(cid))
-            edge = np.partition(s, len(cid) - take, axis=1)[:, len(cid) - take]
+            if len(first) < len(cid):
+                s = np.maximum.reduceat(s, first, axis=1)
+            take = min(k, len(first))
+            edge = np.partition(s, len(first) - take, axis=1)[:, len(first) - take]
             near = s >= (edge - 1e-9 * np.maximum(1, np.abs(edge)))[:, None]
             near &= s > -np.inf
             for i in range(len(s)):
                 at = np.flatnonzero(near[i])
+                at = np.repeat(first[at] - np.cumsum(ends[at] - first[at]) + (ends[at] - first[at]), ends[at] - first[at]) + np.arange((ends[at] - first[at]).sum())
                 own = (cx[at] * qx[lo + i]).sum(axis=1)  # the same sum for equal vectors, wherever they are
                 found.append(_best(cid[at], own, k))
         offsets = np.concatenate(([0], np.cumsum([len(i) for i, _ in found]))).astype(np.int32)
@@ -239,6 +309,6 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95)
 
     hits = left.groupBy("part", "cb", "qb").cogroup(right.groupBy("part", "cb", "qb")).applyInArrow(search, found_schema)
     # a query's few lists meet in one of many buckets of some hundred queries
-    buckets = max(1, math.ceil(queries.count() / router.probes / 512))
+    buckets = max(1, math.ceil(n_queries / 512))
     hits = hits.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(buckets)).alias("bucket"))
     return hits.applyInArrow(merge, "query_id long, rank int, vec_id long, score double")

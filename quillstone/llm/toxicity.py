@@ -59,11 +59,12 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _family_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, family): the smallest hash of two words on end, which near copies mostly share."""
+    """(doc_id, text) -> (doc_id, family): the smallest hash of five words on end, which near copies mostly share and
+    other texts do not."""
     for batch in batches:
         texts = _plain(batch.column(1))
         for lo, hi in chunks(texts):
-            doc, h = Words(texts[lo:hi]).shingles(2)
+            doc, h = Words(texts[lo:hi]).shingles(5)
             least = np.zeros(hi - lo, np.int64)
             found, first = np.unique(doc, return_index=True)
             if len(found):
@@ -84,7 +85,8 @@ def _counted(held: list) -> pa.RecordBatch:
 
 @dataclass
 class Model:
-    """words: sorted hashes; odds: their log odds; drift: of any other word (negative); rate, k: extreme values of clean texts."""
+    """words: sorted hashes; odds: their log odds; drift: of any other word (negative); rate, k: extreme values of clean
+    texts. k = 1 is the upper bound of the law's second constant, so that chances are never understated."""
 
     words: np.ndarray
     odds: np.ndarray
@@ -93,24 +95,31 @@ class Model:
     k: float
 
     def passages(self, positions: np.ndarray, odds: np.ndarray) -> list[tuple[int, int, float]]:
-        """All maximal scoring segments (Ruzzo and Tompa): (first word, last word, score), from the words that score."""
-        found: list[list] = []  # first, last, left total, right total
+        """All maximal scoring segments: (first word, last word, score), from the words that score, in linear time.
+
+        A segment's candidate carries a link to the nearest one before whose left total is smaller, so that none is
+        looked at twice in vain."""
+        found: list[tuple] = []  # first, last, left total, right total, link
         total, last = 0.0, -1
         for at, w in zip(positions.tolist(), odds.tolist(), strict=True):
             total += self.drift * (at - last - 1)
             last = at
-            own = [at, at, total, total + w]
+            first, left = at, total
             total += w
-            while True:
-                j = len(found) - 1
-                while j >= 0 and found[j][2] >= own[2]:
-                    j -= 1
-                if j < 0 or found[j][3] >= own[3]:
-                    found.append(own)
-                    break
-                own = [found[j][0], own[1], found[j][2], own[3]]
+            if w <= 0:
+                continue
+            # link: the nearest segment before with a smaller left total; those passed over have a larger one, and so
+            # have those that their links pass over, so each is followed once
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]
+            while j >= 0 and found[j][3] < total:
+                first, left = found[j][0], found[j][2]
+                link = found[j][4]
                 del found[j:]
-        return [(a, b, r - left) for a, b, left, r in found]
+                j = link
+            found.append((first, at, left, total, j))
+        return [(a, b, r - left) for a, b, left, r, _ in found]
 
     def chance(self, score: float, n: int) -> float:
         """That a clean text of n words holds a segment of this score or more."""
@@ -119,15 +128,15 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Word log odds with an informative Dirichlet prior, from labelled rows that are not held out, one of each family of
-    near copies (texts that share the smallest hash of two words on end) and label."""
+    near copies (texts that share the smallest hash of five words on end) and label."""
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FITTED)
     known = stored(known, "labelled")  # FITTED rows at most: 16 bytes each, fit to be broadcast
     # near copies of a document would make its rare words look like evidence: one of each family counts
     families = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id").mapInArrow(_family_batches, "doc_id long, family long")
     one = families.join(known, "doc_id").groupBy("family", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    one = stored(one.select("doc_id", "toxic"), "families")  # no more rows than known
-    rows = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("toxic", "text")
+    one = stored(one.select("doc_id", "toxic"), "families")  # repeated ids may have made more rows of it: no hint
+    rows = docs.select("doc_id", "text").join(one, "doc_id").select("toxic", "text")
     counted = rows.mapInArrow(_count_batches, "word long, n_toxic long, n_clean long").groupBy("word").agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c"))
     counted = stored(counted, "words")
     sums = {r.word: (r.t, r.c) for r in counted.where("word in (0, 1)").collect()}

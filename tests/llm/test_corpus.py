@@ -202,11 +202,52 @@ def test_router_routes_and_balances():
     centres = r.normal(size=(16, 12)) * 3
     x = np.repeat(centres, 100, axis=0) + r.normal(size=(1600, 12))
     router = ann.fit_router(x, 8)
+    own = router.ranked(x)[:, 0]
+    assert np.bincount(own, minlength=8).max() <= 2 * 1600 / 8
+    graph = ann._neighbours(x, 8)
+    ann.set_probes(router, np.repeat(x, 8, axis=0), own[graph.ravel()], 0.95)
     assert router.recall >= 0.95 and router.probes < 8
-    part = ann._balanced(x, ann._neighbours(x, 8), 8, r)
+    part = ann._balanced(x, graph, 8, r)
     assert np.bincount(part).max() <= np.ceil(1600 / 8 * 1.1)
 
 
+def test_nearest_neighbours_over_many_partitions(spark, monkeypatch):
+    """Rows that the index was not fitted on, one id with many vectors, against exact search."""
+    monkeypatch.setattr(ann, "PART_ROWS", 256)
+    monkeypatch.setattr(ann, "FITTED", 1024)
+    seen = []
+    set_probes = ann.set_probes
+    monkeypatch.setattr(ann, "set_probes", lambda router, *a: (set_probes(router, *a), seen.append((router.probes, router.parts))))
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(60, 16)) * 2
+    x = centres[r.integers(0, 60, 4000)] + r.normal(size=(4000, 16))
+    ids = np.arange(4000)
+    ids[3900:] = 7  # an id that is the neighbour of many, a hundred times
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in ann.nearest(df).collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id))
+    queries, hits = sorted({int(i) for i in ids if i % 20 == 0}), 0
+    assert sorted(got) == queries and seen[0][0] < seen[0][1]
+    for q in queries:
+        s = x @ x[q]
+        best = {}
+        for i, v in zip(ids.tolist(), s.tolist(), strict=True):
+            if i != q and v > best.get(i, -np.inf):
+                best[i] = v
+        want = sorted(best, key=lambda i: (-best[i], i))[:20]
+        assert sorted(k for k, _ in got[q]) == list(range(1, 21)) and len({v for _, v in got[q]}) == 20
+        hits += len({v for _, v in got[q]} & set(want))
+    assert hits >= 0.9 * 20 * len(queries)
+
+
+def test_repeated_ids_are_one_candidate(spark):
+    r = np.random.default_rng(5)
+    rows = [(1, [float(v) for v in r.normal(size=4)]) for _ in range(40)] + [(i, [float(v) for v in r.normal(size=4)]) for i in (0, *range(2, 39))]
+    got = [x.vec_id for x in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() if x.query_id == 0]
+    assert len(got) == len(set(got)) == 20
+
+
 def quality_rows():
     rows, labels = [], []
     for i in range(120):

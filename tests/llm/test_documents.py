@@ -1,5 +1,6 @@
 """Operators on texts, row by row, against plain Python."""
 
+import time
 import hashlib
 import random
 import re
@@ -193,3 +194,29 @@ def test_packing_counts_loss_bearing_tokens():
         by.setdefault(seq, []).append(sum(start + j >= 15 for j in range(n)))
     assert max(map(sum, by.values())) <= 8 and max(map(len, by.values())) <= 4
     assert sum(map(sum, by.values())) == 250
+
+
+def test_maximal_segments_against_their_definition():
+    from quillstone.llm.toxicity import Model
+
+    def best_first(values, lo, hi):
+        best = max(((sum(values[i : j + 1]), i, j) for i in range(lo, hi) for j in range(i, hi)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        return [*best_first(values, lo, best[1]), (best[1], best[2], round(best[0], 9)), *best_first(values, best[2] + 1, hi)]
+
+    r = random.Random(5)
+    for _ in range(400):
+        drift, n = -r.uniform(0.1, 1), r.randrange(1, 22)
+        values = [r.choice([drift, r.uniform(-2, 3)]) for _ in range(n)]
+        at = [i for i, v in enumerate(values) if v != drift]
+        found = Model(None, None, drift, 1.0, 1.0).passages(np.array(at, int), np.array([values[i] for i in at], float))
+        assert [(a, b, round(s, 9)) for a, b, s in found] == best_first(values, 0, n)
+
+
+def test_segments_take_linear_time():
+    from quillstone.llm.toxicity import Model
+
+    began = time.perf_counter()
+    Model(None, None, -0.2, 1.0, 1.0).passages(np.arange(200_000) * 30, np.ones(200_000))
+    assert time.perf_counter() - began < 10
