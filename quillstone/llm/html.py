@@ -39,7 +39,7 @@ _ENDS = {
 }
 
 #: Elements that are never the article's text.
-_NOISE_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea iframe object svg math canvas dialog menu title input search audio video".split())
+_NOISE_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea iframe object svg canvas dialog menu title input search audio video".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tooltip".split())
 #: Words of class and id names that mark what is not the article.
 _NOISE_NAMES = frozenset(
@@ -47,7 +47,8 @@ _NOISE_NAMES = frozenset(
     "sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus reply replies respond share sharing social "
     "related recommended recommendations newsletter subscribe subscription signup login widget widgets pagination pager skip copyright disclaimer".split()
 )
-_HEADER_NAMES = frozenset("header heading-bar site-header page-header".split())
+#: Elements that text itself is made of: there a name marks noise only if all its words do ("cookie-notice", not "share-price").
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure figcaption table td th tr tbody span em strong b i u a code q cite abbr mark time sub sup math".split())
 _KEPT_TAGS = frozenset("html body main".split())
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -83,6 +84,8 @@ def _is_noise(tag: str, attrs: str, inside_article: bool) -> bool:
     parts = {p for n in names for p in _NAME_PARTS.split(n)}
     if tag == "article":
         return not parts.isdisjoint({"comment", "comments", "reply", "ad", "advert", "related", "promo"})
+    if inside_article and tag in _TEXT_TAGS:
+        return any(own and own <= _NOISE_NAMES for n in names for own in (set(filter(None, _NAME_PARTS.split(name))) for name in n.split()))
     return not parts.isdisjoint(_NOISE_NAMES) or (not inside_article and "header" in parts)
 
 

@@ -28,6 +28,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     Sources in order of code points, the null source last, get the weights in turn. share * all words are dealt by weight;
     a target stops at cap * its source's words, the excess goes to the others by weight until none is above. A source
     takes target // source_size whole copies of each document, and one more of those whose place is below a threshold;
+    documents without words come once at most;
     the document at the threshold is taken if that comes nearer. Rows equal in doc_id and text have the same place and
     share its fate. Sources without words have target 0. An empty table gives an empty result. Reruns agree.
 
@@ -78,7 +79,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
         )
     chosen = stored(sources.join(edge.select("src", "edge", "over"), "src", "left"), "thresholds")
     more = (F.col("place") < F.col("edge")) | ((F.col("place") == F.col("edge")) & F.col("over"))
-    out = sized.join(chosen, "src").withColumn("copies", F.col("whole") + F.coalesce(more.cast("long"), F.lit(0)))
+    # a document without words adds nothing to its source: it is there once, where its source is taken at all
+    copies = F.col("whole") + F.coalesce(more.cast("long"), F.lit(0))
+    copies = F.when(F.col("size") == 0, F.least(copies, F.lit(1))).otherwise(F.least(copies, F.lit(int(cap))))
+    out = sized.join(chosen, "src").withColumn("copies", copies)
     return out.select("doc_id", "src", "place", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 

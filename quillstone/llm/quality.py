@@ -96,7 +96,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     left out. The classifier is fitted on FITTED labelled documents at most. A site's posterior counts every document of
     the corpus with its probability: it shrinks to its host's by a Beta prior, and the host's to the corpus's, with
     strengths by the method of moments, so that sparse sites follow the global prior. The score is the document's
-    evidence with its path's posterior as prior, which is floored and capped at even odds of ten to one, so that clear
+    evidence with its path's posterior, itself left out, as prior, which is floored and capped at even odds of ten to one, so that clear
     evidence decides alone.
 
     Null and empty texts measure 0 and are scored by that. A null source or lang is a site of its own. Repeated rows get a
@@ -106,9 +106,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ledger = stored(rule_ledger(docs, keep=("doc_id", "row_key", "source", "lang")), "quality")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FITTED)
     known = stored(known, "labelled")  # FITTED rows at most, fit to be broadcast
-    rows = ledger.join(F.broadcast(known), "doc_id").select(F.array(*[F.expr(f).cast("double") for f in FEATURES]).alias("x"), (F.col("quality") > 0).cast("double").alias("y"))
-    # repeated ids could make more rows than labels
-    sample = rows.limit(2 * FITTED).toPandas()
+    rows = ledger.join(F.broadcast(known), "doc_id").select("doc_id", F.array(*[F.expr(f).cast("double") for f in FEATURES]).alias("x"), (F.col("quality") > 0).cast("double").alias("y"))
+    # one row for each label, though ids may be repeated; in a fixed order
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("row"))
+    sample = rows.select("doc_id", "row.x", "row.y").toPandas().sort_values("doc_id")
     model = fit_classifier(np.array(sample["x"].tolist()), sample["y"].to_numpy())
 
     scored = ledger.select("doc_id", "row_key", "source", "lang", model.evidence().alias("evidence"))
@@ -126,10 +127,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     mean = F.lit(float(top.mean) if top.mean is not None else model.prior)
     host = _shrunk(hosts, mean, "host_good", "host_n", _strength(top))
     hosts = hosts.select(F.col("source").alias("host_source"), host.alias("host"))
-    sites = paths.join(hosts, F.col("source").eqNullSafe(F.col("host_source"))).select("source", "lang", "host", _shrunk(paths, F.col("host"), "good", "n", _strength(moments(paths, "good", "n"))).alias("path"))
-    sites = stored(sites.select(F.col("source").alias("s"), F.col("lang").alias("l"), "host", "path"), "sites")
+    strength = _strength(moments(paths, "good", "n"))
+    sites = paths.join(hosts, F.col("source").eqNullSafe(F.col("host_source"))).select("source", "lang", "host", "good", "n", _shrunk(paths, F.col("host"), "good", "n", strength).alias("path"))
+    sites = stored(sites.select(F.col("source").alias("s"), F.col("lang").alias("l"), "host", "path", F.col("good").alias("site_good"), F.col("n").alias("site_n")), "sites")
 
-    bounded = F.least(F.greatest(_logit(F.least(F.greatest("path", F.lit(1e-9)), F.lit(1 - 1e-9))), F.lit(-2.3)), F.lit(2.3))
+    # a document's own evidence is not counted twice: its prior is its path's posterior without it
+    others = (F.col("site_good") - good + strength * F.col("host")) / (F.col("site_n") - 1 + strength)
+    bounded = F.least(F.greatest(_logit(F.least(F.greatest(others, F.lit(1e-9)), F.lit(1 - 1e-9))), F.lit(-2.3)), F.lit(2.3))
     score = 1 / (1 + F.exp(-(F.col("evidence") + bounded)))
     out = scored.join(sites, F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")))
     out = out.select("doc_id", "row_key", "evidence", "host", "path", score.alias("score"))

@@ -105,7 +105,7 @@ RULES = (
     Rule("upper_case", "n_letters > 0 and 100 * n_upper > 50 * n_letters"),
     Rule("exclamation", "100 * n_marks > 50 * n_words"),
     Rule("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)"),
-    Rule("few_distinct_words", "n_words >= 50 and 100 * n_distinct_words < 5 * n_words and n_words < 5000"),
+    Rule("few_distinct_words", "n_words >= 50 and 100 * n_distinct_words * n_distinct_words < 12 * n_words"),
 )
 BITS = {r.name: 1 << i for i, r in enumerate(RULES)}
 

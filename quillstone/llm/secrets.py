@@ -19,8 +19,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX_LEAST, ACCESS_LEAST, ASSIGN_LEAST = 24, 20, 6
 #: A candidate: a run of so many characters of credentials, with a digit.
 CANDIDATE_LEAST = 12
-#: Distinct labelled values of each kind (those with the smallest hashes) that the automata are fitted on.
-FITTED = 300
+#: Distinct labelled values of each kind (those with the smallest hashes) that the automata are fitted on, and the most
+#: characters that such a value may have; longer strings (blobs) are scored like all others.
+FITTED, FITTED_LENGTH = 300, 200
 
 _CREDENTIAL = np.zeros(256, bool)
 _CREDENTIAL[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_.=-"]] = True
@@ -116,14 +117,14 @@ def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     gives no rows.
 
     Texts are scanned once. The automata are fitted on the driver on at most FITTED distinct values per kind, those of
-    smallest hash in the whole corpus; every candidate of the corpus is scored.
+    smallest hash in the whole corpus with FITTED_LENGTH characters at most; every candidate of the corpus is scored.
     """
     fields = ", ".join(f"{c}: {t}" for c, t in docs.select(*keep).dtypes)
     scanned = docs.select(F.struct(*keep).alias("id"), "text").mapInArrow(_scan_batches, f"id struct<{fields}>, found array<struct<kind:int,start:long,end:long,value:string>>")
     scanned = stored(scanned, "secrets")
 
     values = scanned.where(F.size("found") > 0).select(F.explode("found").alias("f")).select("f.kind", "f.value").distinct()
-    by_hash = values.withColumn("h", F.xxhash64("value"))
+    by_hash = values.where(F.char_length("value") <= FITTED_LENGTH).withColumn("h", F.xxhash64("value"))
     sample: dict[int, list[str]] = {}
     for kind in range(len(KINDS)):
         rows = by_hash.where(F.col("kind") == kind).orderBy("h", "value").limit(FITTED).select("value").collect()

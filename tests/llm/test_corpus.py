@@ -267,6 +267,35 @@ def test_quality(spark):
     for i in range(10, 120):
         assert scored[i].kept == (i % 3 != 0)
     assert all(0 < r.host < 1 and 0 < r.path < 1 and 0 <= r.score <= 1 for r in got)
+    # the posteriors and scores again, from the evidence, in plain Python
+    known = dict(labels)
+    prior = (sum(known.values()) + 1) / (len(known) + 2)
+    shift = np.log(prior / (1 - prior))
+    hashed = {r.row_key: (r.source, r.lang) for r in docs.withColumn("row_key", quality.row_key("doc_id", "text")).select("row_key", "source", "lang").collect()}
+    sites = {}
+    for r in got:
+        sites.setdefault(hashed[r.row_key], []).append(1 / (1 + np.exp(-(r.evidence + shift))))
+    hosts = {}
+    for (s, _), own in sites.items():
+        hosts.setdefault(s, []).extend(own)
+
+    def strength(groups, mean):
+        share = np.array([np.mean(g) for g in groups])
+        n = np.array([len(g) for g in groups])
+        between = max(share.var() - (share * (1 - share) / n).mean(), 0)
+        return min(max(mean * (1 - mean) / max(between, 1e-9) - 1, 1), 1000) if between else 1000.0
+
+    everything = np.concatenate([np.array(g) for g in hosts.values()])
+    mean = min(max(everything.mean(), 1e-6), 1 - 1e-6)
+    at_hosts, at_paths = strength(list(hosts.values()), mean), strength(list(sites.values()), mean)
+    for r in got:
+        s, own = hashed[r.row_key][0], 1 / (1 + np.exp(-(r.evidence + shift)))
+        host = (sum(hosts[s]) + at_hosts * mean) / (len(hosts[s]) + at_hosts)
+        path = sites[hashed[r.row_key]]
+        assert abs(r.host - host) < 1e-9 and abs(r.path - (sum(path) + at_paths * host) / (len(path) + at_paths)) < 1e-9
+        others = (sum(path) - own + at_paths * host) / (len(path) - 1 + at_paths)
+        odds = r.evidence + min(max(np.log(others / (1 - others)), -2.3), 2.3)
+        assert abs(r.score - 1 / (1 + np.exp(-odds))) < 1e-9
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.kept for r in quality.classify(docs, none).collect())
     assert quality.classify(docs.limit(0), none).count() == 0
@@ -286,6 +315,7 @@ def test_mixing_matches_oracle(spark):
     mine = sorted(((x.doc_id, x.size, x.source_size, x.target, x.taken) for x in got.collect()), key=key)
     # repeated rows share a place: the oracle joins them once
     assert {*mine} == {*map(tuple, want)}
+    assert all(x.copies <= (1 if x.size == 0 else 2) for x in got.collect())
     per = got.groupBy("src").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
     assert all(abs(x.taken - x.target) <= x.most for x in per)
     assert sorted(r.taken for r in got.collect()) == sorted(r.taken for r in mixing.mix_sources(docs.repartition(3)).collect())
