@@ -66,9 +66,9 @@ def reference_rows(texts: DataFrame) -> DataFrame:
     rows = lines(texts.where("refs is not null"), "refs")
     cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|", -1), lambda c: F.trim(c))
     rows = rows.select("draft", "n", cells.alias("c")).where(F.size("c") == 5)
-    rows = rows.withColumn("number", F.regexp_extract(F.col("c")[0], r"^\[?(\d{1,3})\]?$", 1)).where("number <> ''")
+    rows = rows.withColumn("number", F.regexp_extract(F.get("c", F.lit(0)), r"^\[?(\d{1,3})\]?$", 1)).where("number <> ''")
     last = F.max_by("c", "n").alias("c")
-    return rows.groupBy("draft", "number").agg(last).select("draft", "number", *[F.col("c")[i].alias(name) for i, name in enumerate(("title", "identifier", "binding", "scope"), 1)])
+    return rows.groupBy("draft", "number").agg(last).select("draft", "number", *[F.get("c", F.lit(i)).alias(name) for i, name in enumerate(("title", "identifier", "binding", "scope"), 1)])
 
 
 def text_errors(texts: DataFrame) -> DataFrame:
