@@ -97,3 +97,16 @@ def event_digest(line: str | None, without: str = "sha256") -> str | None:
 @F.pandas_udf(StringType())
 def event_digests(lines: pd.Series) -> pd.Series:
     return lines.map(event_digest)
+
+
+def _payload_digest(text: str | None) -> str | None:
+    try:
+        return None if text is None else digest(ledger_json(json.loads(text)))
+    except (TypeError, ValueError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def payload_digests(texts: pd.Series) -> pd.Series:
+    """Hash of a JSON text in the ledger's canonical form; null where it has none."""
+    return texts.map(_payload_digest)
