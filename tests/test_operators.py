@@ -5,7 +5,7 @@ import random
 import pytest
 
 from quillstone.functions import text as T
-from quillstone.functions.canonical import CanonicalError, document_json, ledger_json, number_text
+from quillstone.functions.canonical import CanonicalError, digest, document_json, ledger_json, number_text
 from quillstone.operators import anchors, chain, folds, graph, links, ranking
 from quillstone.sources.html import page_blocks
 from quillstone.sources.ledger import ACTORS, LedgerWriter, RULES, read_anchors, read_events, summarize
@@ -122,7 +122,7 @@ def test_blocks():
     assert got == [("paragraph", "unknown", "before"), ("heading", "T & x", "T & x"), ("paragraph", "T & x", "a b"), ("paragraph", "T & x", "c"), ("paragraph", "T & x", "dtail")]
 
 
-SAMPLE = {"t": "x", "s": "", "n": None, "i": 3, "p": 1, "b": True, "a": [], "o": {}}
+SAMPLE = {"text": "x", "any text": "", "null or text": None, "integer": 3, "positive integer": 1, "boolean": True, "array": [], "object": {}}
 
 
 def test_ledger_round_trip_and_tampering(spark, tmp_path):
@@ -145,14 +145,35 @@ def test_ledger_refuses(tmp_path):
     first = writer.append("project.init", {"project_id": "p", "core_version": "1"}, "tool", "T0")
     with pytest.raises(ValueError):
         writer.append("project.init", {}, "tool", "T0", expected_head="other")
-    assert writer.append("project.init", {}, "tool", "T0", expected_head=first["sha256"])["prev"] == first["sha256"]
+    whole = {"project_id": "line\u2028break", "core_version": "1"}
+    assert writer.append("project.init", whole, "tool", "T0", expected_head=first["sha256"])["prev"] == first["sha256"]
+    assert writer.append("project.init", whole, "tool", "T0")["seq"] == 3
+    with pytest.raises(ValueError, match="missing required field 'project_id'"):
+        writer.append("project.init", {}, "tool", "T0")
+    writer.path.write_text(writer.path.read_text().replace('"core_version":"1"', '"core_version":"2"', 1))
+    with pytest.raises(ValueError, match="broken at line 1"):
+        writer.append("project.init", whole, "tool", "T0")
 
 
-def test_payload_errors_name_the_first_field(spark, tmp_path):
+def test_torn_last_line(spark, tmp_path):
     writer = LedgerWriter(tmp_path)
-    writer.append("claim.link", {"claim_id": "c", "evidence_id": " ", "relation": "supports"}, "model", "T2")
-    writer.append("candidate.upsert", {"id": "c", "version": True}, "model", "T2")
-    writer.append("reading.retract", {"target": "t", "reason": "r", "more": 1}, "model", "T2")
+    writer.append("project.init", {"project_id": "p", "core_version": "1"}, "tool", "T0")
+    writer.path.write_text(writer.path.read_text().removesuffix("\n"))
+    assert summarize(read_events(spark, str(tmp_path))).first().errors == ["torn final line at line 1"]
+    with pytest.raises(ValueError, match="torn"):
+        writer.append("project.init", {"project_id": "p", "core_version": "1"}, "tool", "T0")
+
+
+def test_payload_errors_name_the_first_field(spark, tmp_path):
+    bad = [("claim.link", {"claim_id": "c", "evidence_id": " ", "relation": "supports"}), ("candidate.upsert", {"id": "c", "version": True}), ("reading.retract", {"target": "t", "reason": "r", "more": 1})]
+    head, lines = None, []
+    for n, (kind, data) in enumerate(bad, 1):  # the writer refuses them; another one may not have
+        own = {"seq": n, "id": f"EV-{n:06d}", "ts": "2026-01-01T00:00:00+00:00", "type": kind, "actor": "model", "trust": "T2", "data": data, "prev": head, "protocol": "ledger-json-v1"}
+        head = own["sha256"] = digest(ledger_json(own))
+        lines.append(ledger_json(own) + "\n")
+        with pytest.raises(ValueError):
+            LedgerWriter(tmp_path / "own").append(kind, data, "model", "T2")
+    (tmp_path / "ledger.jsonl").write_text("".join(lines))
     errors = summarize(read_events(spark, str(tmp_path))).first().errors
     assert errors == [
         "invalid event payload at line 1: claim.link: evidence_id must be non-empty text",
