@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,28 @@ def test_banded_distance():
             assert lines.within(a, b, most) == (distance(a, b) <= most)
 
 
+def test_bags_sift_no_linked_pair():
+    r = random.Random(11)
+    pairs = []
+    for _ in range(1500):
+        a = "".join(r.choice("abcß語 ") for _ in range(r.choice([16, 20, 300, 700])))
+        b = list(a)
+        for _ in range(r.randrange(4)):
+            j = r.randrange(len(b))
+            b[j : j + r.choice([0, 1])] = r.choice(["x", "語", ""])
+        pairs.append((a, "".join(b)) if r.random() < 0.8 else (a, "".join(r.sample(a, len(a)))))
+    for most in (1, 3, None):
+        kept = [(a, b) for a, b in pairs if b]
+        bags = [[x.tobytes() for x in lines._bags(lines.Lines(list(side)))] for side in zip(*kept, strict=True)]
+        n = [pa.array([len(t) for t in side], pa.int32()) for side in zip(*kept, strict=True)]
+        ids = pa.array(range(len(kept)), pa.int64())
+        batch = pa.RecordBatch.from_arrays([ids, ids, *n, pa.array(bags[0], pa.binary()), pa.array(bags[1], pa.binary())], list("abcdef"))
+        out = pa.Table.from_batches(lines._alike_batches(most)([batch, batch.slice(0, 0)]))
+        alike = set(out.column("a").to_pylist())
+        linked = {i for i, (a, b) in enumerate(kept) if lines.within(a, b, lines.allowed(min(len(a), len(b)), most))}
+        assert linked and linked <= alike and len(alike) < len(kept)
+
+
 def line_rows():
     r = random.Random(6)
     rows = [x for x in odd_rows() if x[0] not in (None, 7)]
