@@ -1,14 +1,15 @@
-"""The ten operators as thin queries over the whole tables, and their oracle SQL."""
+"""The thirteen operators as thin queries over the whole tables, and their oracle SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing
+from quillstone.llm import mixing, resampling, ties
 from quillstone.llm.ann import nearest
 from quillstone.llm.common import table
 from quillstone.llm.html import extract_pages
+from quillstone.llm.licenses import find_licenses
 from quillstone.llm.lines import repeated_lines
 from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.packing import pack_texts
@@ -76,6 +77,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes("v1")).alias("kept"), "failed")
 
 
+def op11_ranking_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ties.sale_line_ranks(table(spark, sf_dir, "sale_lines"))
+    return found.select("vendor_id", "part", "month", "pos", "place", "sale_id", "line_no", "quantity", "percent", "amount_cents", "tied")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_extract_text": op1_extract_text,
     "op2_toxicity": op2_toxicity,
@@ -87,8 +102,13 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranking_ties": op11_ranking_ties,
+    "op12_license_scan": op12_license_scan,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_mix_sources": mixing.ORACLE,
+    "op11_ranking_ties": ties.ORACLE,
+    "op13_importance_resampling": resampling.ORACLE,
 }
