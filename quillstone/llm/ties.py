@@ -55,16 +55,16 @@ def _folding(groups: int, pairs: int, k: int) -> Callable[[Iterator[pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, fresh, rows = None, [], 0
         for batch in batches:
-            fresh.append(batch)
+            fresh.append(pa.table(batch.columns, batch.schema.names))  # without what its schema says on nulls
             rows += batch.num_rows
             if rows >= max(FOLD_ROWS, held.num_rows if held else 0):
-                held = fold(pa.concat_tables([*([held] if held else []), pa.Table.from_batches(fresh)]), groups, pairs, k)
+                held = fold(pa.concat_tables([*([held] if held else []), *fresh]), groups, pairs, k)
                 fresh, rows = [], 0
                 if held.num_rows > HELD_ROWS:
                     yield from held.to_batches(1 << 16)
                     held = None
         if fresh:
-            held = fold(pa.concat_tables([*([held] if held else []), pa.Table.from_batches(fresh)]), groups, pairs, k)
+            held = fold(pa.concat_tables([*([held] if held else []), *fresh]), groups, pairs, k)
         if held:
             yield from held.to_batches(1 << 16)
 

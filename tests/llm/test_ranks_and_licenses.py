@@ -86,6 +86,20 @@ def test_folds_in_any_grouping_give_the_same_map():
     assert sum(whole["n"].to_pylist()) + sum(whole["dropped"].to_pylist()) == 4000
 
 
+def test_a_task_folds_often_and_passes_on_what_it_holds(monkeypatch):
+    monkeypatch.setattr(ties, "FOLD_ROWS", 50)
+    monkeypatch.setattr(ties, "HELD_ROWS", 12)
+    r = np.random.default_rng(6)
+    names, one = ["g", "p", "n", "dropped"], pa.array(np.ones(30, np.int64))
+    schema = pa.schema([pa.field("g", pa.int64(), False), *[pa.field(c, pa.int64()) for c in names[1:]]])
+    batches = [pa.RecordBatch.from_arrays([pa.array(r.integers(0, 6, 30)), pa.array(r.integers(0, 9, 30)), one, pa.array(np.zeros(30, np.int64))], schema=schema) for _ in range(40)]
+    got = [pa.table(b.columns, names) for b in ties._folding(1, 1, 3)(iter(batches))]
+    assert len(got) > 1
+    whole = ties.fold(pa.concat_tables([pa.table(b.columns, names) for b in batches]), 1, 1, 3)
+    merged = ties.fold(pa.concat_tables(got), 1, 1, 3)
+    assert merged.sort_by([("g", "ascending"), ("p", "ascending")]).equals(whole.sort_by([("g", "ascending"), ("p", "ascending")]))
+
+
 def test_numbers_follow_the_order_in_each_run(spark):
     r = random.Random(8)
     rows = [(r.randrange(3), r.randrange(50)) for _ in range(900)] + [(None, 1), (None, 0)]
