@@ -688,3 +688,101 @@ def lint_unregistered(t: Tables) -> DataFrame:
     found = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(10\.\d{4,9}/\S+)"), F.lit(1))).alias("identity"))
     found = found.select("doc_id", F.lower(F.regexp_replace("identity", r"[.,;)]+$", "")).alias("identity")).distinct()
     return found.join(t.benchmark.select(F.lower("text").alias("identity")), "identity", "left_anti").select("doc_id", "identity")
+
+
+# --- nested values ----------------------------------------------------------------------------------------------------
+
+_VALID_PROPS = "WITH c AS (SELECT click_id, props FROM clicks WHERE json_valid(props))"
+
+
+def _props(t: Tables) -> DataFrame:
+    return t.clicks.select("click_id", F.try_parse_json("props").alias("v"))
+
+
+@query(
+    _VALID_PROPS
+    + """SELECT click_id, ltrim(fullkey[2:], '.') AS path,
+           CASE j.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+           atom->>'$' AS value FROM c, json_tree(c.props) j"""
+)
+def json_nodes(t: Tables) -> DataFrame:
+    from quillstone.operators.fields import walk
+
+    plain = F.when(~F.col("kind").isin("object", "array"), F.try_variant_get("value", "$", "string"))
+    return walk(_props(t)).select("click_id", "path", "kind", plain.alias("value"))
+
+
+@query(
+    _VALID_PROPS
+    + """, i AS (SELECT click_id, unnest(json_extract(props, '$.items[*]')) AS item, generate_subscripts(json_extract(props, '$.items[*]'), 1) - 1 AS n FROM c),
+       g AS (SELECT click_id, unnest(json_extract(props, '$.tags[*]')) AS tag, generate_subscripts(json_extract(props, '$.tags[*]'), 1) - 1 AS n FROM c)
+       SELECT click_id, 'k' AS location, 'required' AS message FROM c WHERE NOT coalesce(json_contains(json_keys(props)::JSON, '"k"'), false)
+       UNION ALL SELECT click_id, 'k', 'must be a positive integer' FROM c WHERE NOT coalesce(json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AND (props->>'$.k')::BIGINT > 0, false)
+       UNION ALL SELECT click_id, 'device.os', 'must be one of android, ios' FROM c WHERE json_type(props, '$.device') = 'OBJECT' AND NOT coalesce((props->>'$.device.os') IN ('android', 'ios'), false)
+       UNION ALL SELECT click_id, 'device.ver', 'must be a nonempty string' FROM c WHERE json_type(props, '$.device') = 'OBJECT' AND NOT coalesce(json_type(props, '$.device.ver') = 'VARCHAR' AND trim(props->>'$.device.ver') <> '', false)
+       UNION ALL SELECT click_id, 'device', 'must be an object' FROM c WHERE json_type(props, '$.device') <> 'OBJECT'
+       UNION ALL SELECT click_id, 'tags', 'must be an array of strings' FROM c WHERE json_type(props, '$.tags') <> 'ARRAY'
+       UNION ALL SELECT click_id, 'items', 'must be an array' FROM c WHERE json_type(props, '$.items') <> 'ARRAY'
+       UNION ALL SELECT click_id, 'tags[' || n || ']', 'must be a nonempty string' FROM g WHERE NOT (json_type(tag) = 'VARCHAR' AND trim(tag->>'$') <> '')
+       UNION ALL SELECT click_id, 'items[' || n || '].sku', 'must be a positive integer' FROM i WHERE NOT coalesce((item->>'$.sku')::DOUBLE > 0, false)
+       UNION ALL SELECT click_id, 'items[' || n || '].qty', 'must be a positive integer' FROM i WHERE NOT coalesce((item->>'$.qty')::DOUBLE > 0, false)"""
+)
+def field_rules(t: Tables) -> DataFrame:
+    from quillstone.operators.fields import Rule, hold, turns, walk
+
+    rules = [
+        Rule("", "k", "required"),
+        Rule("", "k", "positive"),
+        Rule("", "device", "object", optional=True),
+        Rule("", "tags", "strings", optional=True),
+        Rule("", "items", "objects", optional=True),
+        Rule("device", "os", "choice", ("android", "ios")),
+        Rule("device", "ver", "text"),
+        Rule("items[]", "sku", "positive"),
+        Rule("items[]", "qty", "positive"),
+    ]
+    numbers = turns(rules)
+    failed, _ = hold(walk(_props(t), numbers).withColumn("version", F.lit(0)), rules, ("click_id",), numbers)
+    return failed.select("click_id", "location", "message")
+
+
+# --- fingerprints -----------------------------------------------------------------------------------------------------
+
+_NATION_IDEAS = """
+WITH own AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, c_custkey AS k FROM customer),
+ideas AS (
+  SELECT nation, segment, string_agg('"E' || k || '"', ',' ORDER BY 'E' || k) AS ids,
+         string_agg('{"id":"E' || k || '","paper_id":"S' || k || '"}', ',' ORDER BY 'E' || k) AS evidence
+  FROM own GROUP BY ALL),
+papers AS (
+  SELECT nation, segment, string_agg('{"id":"S' || k || '","title":"' || s_name || '"}', ',' ORDER BY 'S' || k) AS papers
+  FROM own JOIN supplier ON s_suppkey = k AND s_nationkey = nation GROUP BY ALL)
+"""
+
+
+def _nation_dossiers(t: Tables) -> DataFrame:
+    """Nations as dossiers: suppliers as papers, customers as evidence on the paper of their number, segments as ideas."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    papers = t.supplier.groupBy(F.col("s_nationkey").alias("nation")).agg(F.collect_list(F.struct(name("S", "s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("2024-01-01").alias("accessed_at"))).alias("papers"))
+    evidence = t.customer.groupBy(F.col("c_nationkey").alias("nation")).agg(F.collect_list(F.struct(name("E", "c_custkey").alias("id"), name("S", "c_custkey").alias("paper_id"))).alias("evidence"))
+    none = F.array().cast("array<string>")
+    segments = t.customer.groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("id")).agg(F.collect_list(name("E", "c_custkey")).alias("evidence_ids"))
+    segments = segments.select("nation", F.struct("id", "evidence_ids", F.lit(1).alias("version"), none.alias("search_ids"), none.alias("nearest_work"), none.alias("evidence_links")).alias("idea"))
+    ideas = segments.groupBy("nation").agg(F.collect_list("idea").alias("ideas"))
+    rows = ideas.join(evidence, "nation").join(papers, "nation", "left")
+    fields = [F.lit(3).alias("schema_version"), F.lit(3).alias("decision_contract_version"), F.struct(F.col("nation").cast("string").alias("id"), F.lit("x").alias("question")).alias("project")]
+    fields += ["ideas", "evidence", F.coalesce("papers", F.array().cast("array<struct<id:string,title:string,accessed_at:string>>")).alias("papers")]
+    fields += [none.alias(c) for c in ("searches", "screening", "pilots", "result_invalidations", "reviews", "history")]
+    return rows.select(F.col("nation").alias("dossier"), F.to_json(F.struct(*fields)).alias("body"))
+
+
+@query(
+    _NATION_IDEAS
+    + """SELECT i.nation, i.segment, sha256('{"decision_contract_version":3,"evidence":[' || evidence || '],"idea":{"evidence_ids":[' || ids || '],"evidence_links":[],"id":"' || i.segment
+         || '","nearest_work":[],"search_ids":[],"version":1},"papers":[' || coalesce(papers, '') || '],"pilots":[],"project":{"question":"x"},"result_invalidations":[],"schema_version":3,"screening":[],"searches":[]}') AS basis_hash
+       FROM ideas i LEFT JOIN papers p ON i.nation = p.nation AND i.segment = p.segment"""
+)
+def basis_fingerprints(t: Tables) -> DataFrame:
+    from quillstone.operators.fingerprints import basis_hashes
+
+    return basis_hashes(_nation_dossiers(t)).select(F.col("dossier").alias("nation"), F.col("idea_id").alias("segment"), "basis_hash")
