@@ -256,11 +256,29 @@ def normalize_text_hash(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2(T.normalize_text(F.col("text")), 256).alias("sha"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT page_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS n
+         FROM (SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b(?:[^"''>]|"[^"]*"|''[^'']*'')*>.*?(?:</(?:script|style)\s*>|\z)|<[!?][^>]*>|</?[a-z](?:[^"''>]|"[^"]*"|''[^'']*'')*>|[^<]+|<') AS tokens FROM pages)),
+       u AS (SELECT *, CASE WHEN regexp_matches(token, '(?i)^<(script|style)\b') OR NOT ends_with(token, '>') THEN '' ELSE lower(regexp_extract(token, '^<(/?[A-Za-z][^\t\n\r\f />]*)', 1)) END AS tag,
+                length(token) + len(regexp_extract_all(token, '[\x{10000}-\x{10FFFF}]')) AS units FROM t),
+       v AS (SELECT *, sum(units) OVER w - units AS start_at, sum(units) OVER w AS end_at, ltrim(tag, '/') AS name,
+                sum(CASE WHEN ltrim(tag, '/') NOT IN ('script', 'style', 'noscript', 'svg', 'math') OR (ends_with(token, '/>') AND tag[1] <> '/') THEN 0 WHEN tag[1] = '/' THEN -1 ELSE 1 END) OVER w AS s
+             FROM u WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+       x AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY n)) = 0 AS shown FROM v),
+       y AS (SELECT *, shown AND (regexp_full_match(name, 'h[1-6]|p|div|li|table|figcaption') OR tag = 'br') AS parts,
+                shown AND tag = '' AND NOT regexp_matches(token, '(?is)^<([!?]|(script|style)\b)') AS is_text FROM x),
+       b AS (SELECT *, sum(parts::INT) OVER (PARTITION BY page_id ORDER BY n) AS block, parts AND regexp_full_match(tag, 'h[1-6]') AND NOT ends_with(token, '/>') AS head FROM y),
+       g AS (SELECT page_id, block, bool_or(head) AS head, min(start_at) FILTER (is_text) AS start_at, max(end_at) FILTER (is_text) AS end_at,
+                trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(string_agg(token, '' ORDER BY n) FILTER (is_text), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
+             FROM b GROUP BY ALL)
+       SELECT page_id, row_number() OVER w AS pos, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS kind, text, start_at, end_at,
+              coalesce(last_value(CASE WHEN head THEN text END IGNORE NULLS) OVER w, 'unknown') AS section
+       FROM g WHERE text <> '' WINDOW w AS (PARTITION BY page_id ORDER BY block)"""
+)
 def html_blocks(t: Tables) -> DataFrame:
     from quillstone.sources.html import block_rows
 
-    return block_rows(t.pages.select("page_id", "html"), "page_id")
+    return block_rows(t.pages.select("page_id", "html"), "page_id").select("page_id", "pos", "kind", "text", "start_at", "end_at", "section")
 
 
 @query(r"SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS section FROM pages")

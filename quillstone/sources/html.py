@@ -1,71 +1,72 @@
-"""HTML pages as rows of text blocks."""
+"""HTML pages as rows: tokens with their places, and blocks of text made of them by windows over a page."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import html
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# What is skipped, what ends a block, and what a block without a heading before it is in.
-SKIPPED = frozenset(("script", "style", "noscript", "svg", "math"))
-HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-CLOSING = HEADINGS | {"p", "div", "li", "table", "figcaption"}
-OPENING = CLOSING | {"br"}
+# Elements that hold no text, headings, what else parts blocks, the section of what no heading precedes.
+HIDDEN = ("script", "style", "noscript", "svg", "math")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+PARTING = (*HEADINGS, "p", "div", "li", "table", "figcaption")
 NO_SECTION = "unknown"
 
+#: Comments, scripts and styles as a whole, declarations, tags, text; a lone < is text. Every character is in one token.
+TOKEN = r"""(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?:script|style)\s*>|\z)|<[!?][^>]*>|</?[a-z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>|[^<]+|<"""
+#: All that Python's str.split takes for white space.
+SPACE = "[\\x09-\\x0D\\x1C-\\x20\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
 
-class _Blocks(HTMLParser):
-    """Collects (kind, section, text); what is inside skipped elements counts for nothing."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, str, str]] = []
-        self.pending: list[str] = []
-        self.hidden, self.heading, self.section = 0, False, NO_SECTION
+@F.pandas_udf(StringType())
+def decoded(texts: pd.Series) -> pd.Series:
+    """Character references as characters."""
+    return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
 
-    def end_block(self, heading: bool = False) -> None:
-        """heading: whether the block that begins now is one."""
-        text = " ".join("".join(self.pending).split())
-        if text:
-            self.section = text if self.heading else self.section
-            self.rows.append(("heading" if self.heading else "paragraph", self.section, text))
-        self.pending, self.heading = [], heading
 
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in SKIPPED
-        if tag in OPENING and not self.hidden:
-            self.end_block(tag in HEADINGS)
+def tokens(pages: DataFrame, key: str) -> DataFrame:
+    """(key, n, token, tag, start_at, end_at) of pages (key, html): every token of every page in order.
 
-    def handle_endtag(self, tag):
-        self.hidden -= tag in SKIPPED and self.hidden > 0
-        if tag in CLOSING and not self.hidden:
-            self.end_block()
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.pending.append(data)
-
-
-def page_blocks(html: str | None) -> list[tuple[str, str, str]]:
-    """(kind, section, text) of each block; a heading is the section of what follows it."""
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.close()
-    parser.end_block()
-    return parser.rows
+    tag is the element's name in lower case, with / before it for an end tag; empty for text, comments, declarations,
+    scripts and styles. start_at and end_at count UTF-16 units from the page's beginning.
+    """
+    rows = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("n", "token"))
+    whole = F.col("token").rlike(r"(?i)^<(script|style)\b")
+    tag = F.when(whole, "").otherwise(F.lower(F.regexp_extract("token", r"^<(/?[A-Za-z][^\t\n\r\f />]*)[^>]*", 1)))
+    tag = F.when(F.col("token").endswith(">"), tag).otherwise("")
+    units = F.char_length("token") + F.regexp_count("token", F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    upto = F.sum(units).over(Window.partitionBy(key).orderBy("n"))
+    return rows.select(key, "n", "token", tag.alias("tag"), (upto - units).alias("start_at"), upto.alias("end_at"))
 
 
 def block_rows(pages: DataFrame, key: str) -> DataFrame:
-    """(key, pos, block_id, kind, section, text, lossy) of pages (key, html); pos from 1."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [(k, i, *row) for k, html in zip(part[key], part["html"], strict=True) for i, row in enumerate(page_blocks(html), 1)]
-            yield pd.DataFrame(found, columns=[key, "pos", "kind", "section", "text"])
-
-    kind = dict(pages.dtypes)[key]
-    rows = pages.select(key, "html").mapInPandas(run, f"{key} {kind}, pos int, kind string, section string, text string")
-    return rows.select(key, "pos", F.format_string("B-%04d", "pos").alias("block_id"), "kind", "section", "text", F.lit(True).alias("lossy"))
+    """(key, pos, block_id, kind, section, text, lossy, start_at, end_at) of pages (key, html); pos from 1; key names a page.
+
+    A block is the text between two tags that part blocks, outside of hidden elements, references decoded and white space
+    in one piece; kind is heading or paragraph; section is the text of the last heading so far, a heading's own included.
+    start_at and end_at hold its text in UTF-16 units. Null and empty pages have no blocks. Tags that are not closed at
+    the end of a page are text.
+
+    How deep a token lies in hidden elements is a running sum that never goes below zero, blocks are numbered by a running
+    count: windows over the tokens of one page, in one shuffle.
+    """
+    rows = tokens(pages, key)
+    name, closing, alone = F.ltrim(F.col("tag"), F.lit("/")), F.col("tag").startswith("/"), F.col("token").endswith("/>")
+    step = F.when(~name.isin(*HIDDEN) | (alone & ~closing), 0).when(closing, -1).otherwise(1)
+    by_page = Window.partitionBy(key).orderBy("n")
+    rows = rows.withColumn("level", F.sum(step).over(by_page))
+    rows = rows.withColumn("level", F.col("level") - F.least(F.lit(0), F.min("level").over(by_page)))
+    shown = F.col("level") == 0
+    parts = shown & (name.isin(*PARTING) | (F.col("tag") == "br"))
+    rows = rows.withColumn("block", F.sum(parts.cast("int")).over(by_page)).withColumn("head", parts & F.col("tag").isin(*HEADINGS) & ~alone)
+    text = shown & (F.col("tag") == "") & ~F.col("token").rlike(r"(?is)^<([!?]|(script|style)\b)")
+    pieces = F.array_sort(F.collect_list(F.when(text, F.struct("n", "token"))))
+    blocks = rows.groupBy(key, "block").agg(F.array_join(F.transform(pieces, lambda p: p["token"]), "").alias("raw"), F.bool_or("head").alias("head"), F.min(F.when(text, F.col("start_at"))).alias("start_at"), F.max(F.when(text, F.col("end_at"))).alias("end_at"))
+    blocks = blocks.withColumn("text", F.trim(F.regexp_replace(decoded("raw"), SPACE, " "))).where("text <> ''")
+    ordered = Window.partitionBy(key).orderBy("block")
+    section = F.coalesce(F.last(F.when(F.col("head"), F.col("text")), ignorenulls=True).over(ordered), F.lit(NO_SECTION))
+    blocks = blocks.withColumn("pos", F.row_number().over(ordered)).withColumn("section", section)
+    return blocks.select(key, "pos", F.format_string("B-%04d", "pos").alias("block_id"), F.when(F.col("head"), "heading").otherwise("paragraph").alias("kind"), "section", "text", F.lit(True).alias("lossy"), "start_at", "end_at")

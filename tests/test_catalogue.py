@@ -35,6 +35,9 @@ def test_matches_oracle(spark, duck, name):
 
 
 def test_html_blocks_have_ids_in_order(spark):
-    found = catalogue.QUERIES["html_blocks"](spark, DIR).where("page_id = 1").orderBy("pos").collect()
+    from quillstone.sources.html import block_rows
+
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").where("page_id = 1")
+    found = block_rows(pages, "page_id").orderBy("pos").collect()
     assert [r.block_id for r in found] == [f"B-{r.pos:04d}" for r in found]
     assert found and not any("track(" in r.text for r in found)

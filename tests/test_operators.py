@@ -7,7 +7,7 @@ import pytest
 from quillstone.functions import text as T
 from quillstone.functions.canonical import CanonicalError, digest, document_json, ledger_json, number_text
 from quillstone.operators import anchors, chain, folds, graph, links, ranking
-from quillstone.sources.html import page_blocks
+from quillstone.sources.html import block_rows
 from quillstone.sources.ledger import ACTORS, LedgerWriter, RULES, read_anchors, read_events, summarize
 from pyspark.sql import functions as F
 
@@ -117,9 +117,30 @@ def test_canonical_json():
     assert [number_text(x) for x in (1e21, 1e20, 1e-6, 1e-7, 123.456, -5e-324)] == ["1e+21", "100000000000000000000", "0.000001", "1e-7", "123.456", "-5e-324"]
 
 
-def test_blocks():
-    got = page_blocks("before<h1>T &amp; x</h1><p>a <b>b</b><script>no<p></script></p><ul><li>c<br>d</ul>tail")
-    assert got == [("paragraph", "unknown", "before"), ("heading", "T & x", "T & x"), ("paragraph", "T & x", "a b"), ("paragraph", "T & x", "c"), ("paragraph", "T & x", "dtail")]
+PAGES = {
+    1: ("before<h1>T &amp; x</h1><p>a <b>b</b><script>no<p></script></p><ul><li>c<br>d</ul>tail", [("paragraph", "unknown", "before"), ("heading", "T & x", "T & x"), ("paragraph", "T & x", "a b"), ("paragraph", "T & x", "c"), ("paragraph", "T & x", "dtail")]),
+    2: ("</svg><p>a<svg><p>no</svg>b</math>c<svg/>d</P>", [("paragraph", "unknown", "abcd")]),
+    3: ("<!-- <p>no -->x<!doctype html><p title='a>b'>y &lt;p> \u00a0\x1f z", [("paragraph", "unknown", "x"), ("paragraph", "unknown", "y <p> z")]),
+    4: ("<style>p{}</style><noscript>a<noscript>b</noscript>c</noscript>d<script>open <p>x", [("paragraph", "unknown", "d")]),
+    5: ("<h2>A</h2><h3> </h3><div>b</div><h6>C<p>d 1 < 2 <p class='x", [("heading", "A", "A"), ("paragraph", "A", "b"), ("heading", "C", "C"), ("paragraph", "C", "d 1 < 2 <p class='x")]),
+    6: ("", []),
+    7: (None, []),
+    8: ("\U0001f600<p>\U0001f600x</p>", [("paragraph", "unknown", "\U0001f600"), ("paragraph", "unknown", "\U0001f600x")]),
+    9: ("<span>" * 5000 + "x" + "<i a='1' b=\"2\">" * 5000, [("paragraph", "unknown", "x")]),
+}
+
+
+def test_blocks(spark):
+    pages = spark.createDataFrame([(k, html) for k, (html, _) in PAGES.items()], "page_id int, html string")
+    found = {}
+    for r in block_rows(pages, "page_id").orderBy("page_id", "pos").collect():
+        found.setdefault(r.page_id, []).append(r)
+    for k, (html, want) in PAGES.items():
+        assert [(r.kind, r.section, r.text) for r in found.get(k, [])] == want
+        for r in found.get(k, []):
+            raw = html.encode("utf-16-le")[2 * r.start_at : 2 * r.end_at].decode("utf-16-le")
+            assert raw.startswith(r.text[:1]) or raw[0].isspace()
+    assert [(r.start_at, r.end_at) for r in found[8]] == [(0, 2), (5, 8)]
 
 
 SAMPLE = {"text": "x", "any text": "", "null or text": None, "integer": 3, "positive integer": 1, "boolean": True, "array": [], "object": {}}
