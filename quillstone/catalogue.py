@@ -804,3 +804,22 @@ def basis_fingerprints(t: Tables) -> DataFrame:
     from quillstone.operators.fingerprints import basis_hashes
 
     return basis_hashes(_nation_dossiers(t)).select(F.col("dossier").alias("nation"), F.col("idea_id").alias("segment"), "basis_hash")
+
+
+# --- as-of ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH v AS (SELECT client_id, ts, max(click_id) AS view_id FROM clicks WHERE kind = 'view' AND client_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL)
+       SELECT p.click_id, p.client_id, p.value, v.view_id, epoch_us(p.ts) - epoch_us(v.ts) AS waited
+       FROM (SELECT * FROM clicks WHERE kind = 'purchase') p ASOF LEFT JOIN v ON p.client_id = v.client_id AND p.ts >= v.ts"""
+)
+def last_view_before_purchase(t: Tables) -> DataFrame:
+    from quillstone.operators.asof import latest_before
+
+    clicks = t.clicks
+    views = clicks.where("kind = 'view'").select("client_id", "ts", F.col("click_id").alias("view_id"))
+    bought = clicks.where("kind = 'purchase'").select("click_id", "client_id", "value", "ts")
+    found = latest_before(bought, views, ["client_id"], "ts", "view_id")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return found.select("click_id", "client_id", "value", "found.view_id", (micros("ts") - micros("found.ts")).alias("waited"))
