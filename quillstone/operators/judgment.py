@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.canonical import payload_digests
+from quillstone.operators.fields import as_fields, as_items, as_number, as_text, kind
 from quillstone.operators.readings import effective_readings, payload
 from quillstone.plans.storage import stored
 
@@ -24,18 +25,55 @@ DEEP = ("section", "full_text")
 DESIGN_FIELDS = ("prediction", "falsifier", "design", "metric", "resource_estimate", "stop_rule")
 EQUIVALENCE_KINDS = ("mechanism_equivalence", "duplicate")
 
-_CANDIDATE = """struct<id:string,version:bigint,search_ids:array<string>,
-  nearest_work:array<struct<paper_id:string,evidence_ids:array<string>,decisive:boolean>>,novelty:struct<status:string>,
-  feasibility:struct<status:string,dependencies:array<struct<mandatory:boolean,status:string,constraint_keys:array<string>>>>,
-  validation:struct<status:string,prediction:string,falsifier:string,design:string,metric:string,resource_estimate:string,stop_rule:string>>"""
 _KEY = ("project", "candidate_id")
 
 
+def _inside(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, f"$.{path}", "variant")
+
+
+def _texts(value: Column) -> Column:
+    return F.array_compact(F.transform(F.coalesce(as_items(value), F.array().cast("array<variant>")), as_text))
+
+
+def _flag(value: Column) -> Column:
+    return F.coalesce(F.when(kind(value) == "boolean", F.try_variant_get(value, "$", "boolean")), F.lit(False))
+
+
+def _given(value: Column) -> Column:
+    """Whether a JSON value is more than null, false, zero or empty."""
+    return (
+        F.when(kind(value) == "string", as_text(value) != "")
+        .when(kind(value) == "number", as_number(value) != 0)
+        .when(kind(value) == "boolean", F.try_variant_get(value, "$", "boolean"))
+        .when(kind(value) == "object", F.size(as_fields(value)) > 0)
+        .when(kind(value) == "array", F.size(as_items(value)) > 0)
+        .otherwise(False)
+    )
+
+
+def _candidate(v: Column) -> Column:
+    """What an assessment reads of a candidate. Members of another kind than expected count as missing, each for itself."""
+    members = lambda path: F.filter(as_items(_inside(v, path)), lambda x: kind(x) == "object")
+    text = lambda value, *names: [as_text(_inside(value, n)).alias(n) for n in names]
+    nearest = F.transform(members("nearest_work"), lambda n: F.struct(*text(n, "paper_id"), _texts(_inside(n, "evidence_ids")).alias("evidence_ids"), _flag(_inside(n, "decisive")).alias("decisive")))
+    needs = F.transform(members("feasibility.dependencies"), lambda d: F.struct(_flag(_inside(d, "mandatory")).alias("mandatory"), *text(d, "status"), _texts(_inside(d, "constraint_keys")).alias("constraint_keys")))
+    return F.struct(
+        *text(v, "id"),
+        as_number(_inside(v, "version")).cast("bigint").alias("version"),
+        _texts(_inside(v, "search_ids")).alias("search_ids"),
+        nearest.alias("nearest_work"),
+        F.struct(as_text(_inside(v, "novelty.status")).alias("status")).alias("novelty"),
+        F.struct(as_text(_inside(v, "feasibility.status")).alias("status"), needs.alias("dependencies")).alias("feasibility"),
+        F.struct(*[as_text(_inside(v, f"validation.{f}")).alias(f) for f in ("status", *DESIGN_FIELDS)]).alias("validation"),
+    )
+
+
 def current_candidates(events: DataFrame) -> DataFrame:
     """project, candidate_id, version, c (the candidate's last version), payload (as written)."""
     rows = events.where("type = 'candidate.upsert'").select("project", "line_no", payload("id").alias("candidate_id"), "data")
     last = rows.groupBy("project", "candidate_id").agg(F.max_by(F.to_json("data"), "line_no").alias("payload"))
-    last = last.withColumn("c", F.from_json("payload", _CANDIDATE))
+    last = last.withColumn("c", _candidate(F.parse_json("payload")))
     return last.select("project", "candidate_id", F.col("c.version").alias("version"), "c", "payload")
 
 
@@ -127,14 +165,16 @@ def _all(parts: Sequence[DataFrame]) -> DataFrame:
 
 def assess(events: DataFrame, requests: DataFrame) -> DataFrame:
     """One row per request (project, candidate_id, recommendation GO, HOLD or KILL, stage, scope, kill_type,
-    artifacts_valid) on a known candidate: version, snapshot, machine_recommendation, missing (distinct messages in the
-    order of the gates; claims and evidence by id), n_legacy (result events, which count for nothing).
+    artifacts_valid): version, snapshot, machine_recommendation, missing (distinct messages in the order of the gates;
+    claims and evidence by id), n_legacy (result events, which count for nothing), error.
 
-    GO needs no message at all; KILL needs one of three typed grounds; all else is HOLD.
+    GO needs no message at all; KILL needs one of three typed grounds; all else is HOLD. A request on an unknown candidate,
+    with an option outside of its vocabulary, or whose candidate leans on a search, an anchor or a source that no event
+    records has an error instead of a recommendation and messages.
     """
     events = stored(events, "events")
     candidates = stored(current_candidates(events).join(requests.select(*_KEY).distinct(), list(_KEY), "left_semi"), "candidates")
-    asked = requests.join(candidates.select(*_KEY, "version", "c"), list(_KEY))
+    asked = requests.join(candidates.select(*_KEY, "version", "c", F.lit(True).alias("known")), list(_KEY), "left")
     covered = coverage(events, candidates)
     claims, links, searches = stored(covered["claims"], "claims"), stored(covered["links"], "links"), covered["searches"]
     bounded = searches.where("trust = 'T0' and status = 'complete' and hits > 0").select(*_KEY).distinct()
@@ -147,7 +187,7 @@ def assess(events: DataFrame, requests: DataFrame) -> DataFrame:
     nearest = nearest.select(*_KEY, F.posexplode("n").alias("place", "n")).select(*_KEY, "place", "n.paper_id", "n.evidence_ids", "n.decisive")
     named = nearest.select(*_KEY, "place", "paper_id", "decisive", F.explode("evidence_ids").alias("evidence_id"))
     anchors = last_records(events, "evidence.anchor", [payload("match").alias("match"), F.coalesce(payload("lossy", "boolean"), F.lit(False)).alias("lossy"), payload("source_event").alias("source"), F.coalesce(payload("id"), F.col("id")).alias("anchor")])
-    identities = source_identities(events).select("project", F.col("alias").alias("source"), F.col("paper_id").alias("bound_paper"), F.col("status").alias("identity"))
+    identities = source_identities(events).select("project", F.col("alias").alias("source"), F.col("paper_id").alias("bound_paper"), F.col("status").alias("identity"), F.lit(True).alias("sourced"))
     reads = effective_readings(events).groupBy("project", "anchor").agg(F.bool_or(F.col("scope").isin(*DEEP)).alias("deep"), F.bool_or((F.col("actor") == "user") & (F.col("trust") == "T1") & F.coalesce("visual_checked", F.lit(False))).alias("sighted"))
     wanted = core.select(*_KEY, "evidence_id").union(named.select(*_KEY, "evidence_id")).distinct()
     facts = anchors.select("project", F.col("alias").alias("evidence_id"), "trust", "match", "lossy", "source", "anchor").join(identities, ["project", "source"], "left").join(reads, ["project", "anchor"], "left")
@@ -183,6 +223,18 @@ def assess(events: DataFrame, requests: DataFrame) -> DataFrame:
     ]
     gates = stored(_all(gates), "gates")
 
+    # records that no event has
+    lost_search = candidates.select(*_KEY, F.posexplode("c.search_ids").alias("place", "alias")).join(last_records(events, "search.result", []).select("project", "alias"), ["project", "alias"], "left_anti")
+    by_place = evidence.join(named.groupBy(*_KEY, "evidence_id").agg(F.min("place").alias("place")), [*_KEY, "evidence_id"], "left")
+    at = F.concat(F.format_string("%06d", F.coalesce("place", F.lit(999_999))), "evidence_id")
+    unknown = lambda type_, name: F.concat(F.lit(f"unknown {type_} ID: "), F.coalesce(name, F.lit("")))
+    errors = [
+        _gate(lost_search, 0, unknown("search.result", "alias"), F.format_string("%06d", "place")),
+        _gate(by_place.where("anchor is null"), 1, unknown("evidence.anchor", "evidence_id"), at),
+        _gate(by_place.where("anchor is not null and sourced is null"), 1, unknown("source.fetch", "source"), at),
+    ]
+    errors = _all(errors).groupBy(*_KEY).agg(F.min_by("message", F.struct("ord", "detail")).alias("lost"))
+
     # grounds of a KILL
     alleged = core.where(F.col("kind").isin(*EQUIVALENCE_KINDS) & (F.col("relation") == "supports") & (F.col("target") == "nearest_work")).select(*_KEY, "evidence_id").distinct().withColumn("alleged", F.lit(True))
     per_neighbour = named.where("decisive").join(alleged, [*_KEY, "evidence_id"], "left").join(evidence.select(*_KEY, "evidence_id", "deep"), [*_KEY, "evidence_id"], "left")
@@ -190,8 +242,10 @@ def assess(events: DataFrame, requests: DataFrame) -> DataFrame:
     decisive = nearest.where("decisive").select(*_KEY, "place").join(per_neighbour, [*_KEY, "place"], "left")
     duplicates = decisive.groupBy(*_KEY).agg(F.min(F.coalesce("based", F.lit(False))).alias("based"), F.min(F.coalesce("read", F.lit(False))).alias("read"))
     projects = events.where("type = 'project.update' and actor = 'user' and trust = 'T1'").groupBy("project").agg(F.max_by(F.to_json("data"), "line_no").alias("p"))
-    limits = projects.select("project", F.explode(F.from_json("p", "struct<constraints:map<string,struct<status:string,value:string,source:string>>>")["constraints"]).alias("key", "limit"))
-    limits = limits.where("limit.status = 'confirmed' and limit.value <> '' and limit.source <> ''").select("project", "key").distinct()
+    limits = projects.select("project", F.explode(as_fields(_inside(F.parse_json("p"), "constraints"))).alias("key", "limit")).where(kind(F.col("limit")) == "object")
+    value = _inside(F.col("limit"), "value")
+    stated = ~kind(value).isin("missing", "null") & ~F.coalesce(as_text(value) == "", F.lit(False))
+    limits = limits.where((as_text(_inside(F.col("limit"), "status")) == "confirmed") & stated & _given(_inside(F.col("limit"), "source"))).select("project", "key").distinct()
     failed = each.select(*_KEY, F.explode("c.feasibility.dependencies").alias("d")).where("d.mandatory and d.status = 'failed'").select(*_KEY, F.explode("d.constraint_keys").alias("key"))
     constrained = failed.join(limits, ["project", "key"], "left_semi").select(*_KEY).distinct().withColumn("constrained", F.lit(True))
     tally = gates.groupBy(*_KEY).agg(
@@ -201,7 +255,7 @@ def assess(events: DataFrame, requests: DataFrame) -> DataFrame:
     legacy = events.where(F.col("type").isin(*LEGACY_RESULTS)).groupBy("project").agg(F.count(F.lit(1)).alias("n_legacy"))
     backed = evidence.select(*_KEY).distinct().withColumn("backed", F.lit(True))
     rows = asked
-    for more in (tally, duplicates, constrained, backed):
+    for more in (tally, duplicates, constrained, backed, errors):
         rows = rows.join(more, list(_KEY), "left")
     rows = rows.join(legacy, "project", "left").join(snapshots(events, candidates), list(_KEY), "left")
     true = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(False))
@@ -220,4 +274,14 @@ def assess(events: DataFrame, requests: DataFrame) -> DataFrame:
     found = F.transform(F.coalesce("rows", F.array().cast("array<struct<ord:int,detail:string,message:string>>")), lambda r: r["message"])
     missing = F.array_distinct(F.concat(broken, found, own))
     decision = F.when(kill, "KILL").when((F.col("recommendation") == "GO") & (F.size(missing) == 0), "GO").otherwise("HOLD")
-    return rows.select(*_KEY, "version", "snapshot", decision.alias("machine_recommendation"), "stage", "scope", "kill_type", missing.alias("missing"), F.coalesce("n_legacy", F.lit(0)).alias("n_legacy"))
+    outside = lambda c, *known: ~F.coalesce(F.col(c).isin(*known), F.lit(False))
+    error = (
+        F.when(F.col("known").isNull(), "unknown candidate ID")
+        .when(outside("recommendation", "GO", "HOLD", "KILL"), "unsupported recommendation")
+        .when(outside("stage", "information_test", "pilot", "full_validation"), "unsupported stage")
+        .when(outside("scope", "scientific_framing", "current_constraints"), "unsupported scope")
+        .otherwise(F.col("lost"))
+    )
+    rows = rows.withColumn("error", error)
+    sound = lambda c: F.when(F.col("error").isNull(), c)
+    return rows.select(*_KEY, "version", "snapshot", sound(decision).alias("machine_recommendation"), "stage", "scope", "kill_type", sound(missing).alias("missing"), F.coalesce("n_legacy", F.lit(0)).alias("n_legacy"), "error")

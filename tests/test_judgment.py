@@ -44,6 +44,7 @@ def without(path, value=None):
 
 DUPLICATE = without(["novelty", "status"], "duplicate")
 LIMIT = event("project.update", "p1", *USER, id="PR", constraints={"gpu": {"status": "confirmed", "value": "none", "source": "mail"}})
+MIXED = event("project.update", "p1", *USER, id="PR", constraints={"note": "free text", "n": 3, "gpu": {"status": "confirmed", "value": "none", "source": "mail"}})
 FAILED = without(["feasibility", "dependencies"], [{"mandatory": True, "status": "failed", "constraint_keys": ["gpu"]}])
 NO_KILL = "No verified, typed KILL basis; keep HOLD"
 CONFIRMED = event("source.identity.confirm", "i1", *USER, source_event="f1", resolve_event="r1", paper_id="P-1", status="human_confirmed", source_snapshot=hashlib.sha256(json.dumps({"id": "SRC-1"}, separators=(",", ":")).encode()).hexdigest())
@@ -79,22 +80,40 @@ CASES = {
     "duplicate": (events_of(DUPLICATE, claim={"kind": "duplicate"}, link={"target": "nearest_work"}), {"recommendation": "KILL", "kill_type": "duplicate"}, "KILL", ["Novelty remains unclear or duplicate"]),
     "label only": (events_of(DUPLICATE), {"recommendation": "KILL", "kill_type": "duplicate"}, "HOLD", ["Novelty remains unclear or duplicate", "Duplicate KILL lacks a current load-bearing equivalence/duplicate claim supported by decisive nearest-work anchors", NO_KILL]),
     "constraints": (events_of(FAILED, more=[LIMIT]), {"recommendation": "KILL", "kill_type": "constraints", "scope": "current_constraints"}, "KILL", ["Required resources or prerequisites are not ready"]),
+    "constraints beside free text": (events_of(FAILED, more=[MIXED]), {"recommendation": "KILL", "kill_type": "constraints", "scope": "current_constraints"}, "KILL", ["Required resources or prerequisites are not ready"]),
+    "constraint without a source": (events_of(FAILED, more=[event("project.update", "p1", *USER, id="PR", constraints={"gpu": {"status": "confirmed", "value": 0, "source": []}})]), {"recommendation": "KILL", "kill_type": "constraints", "scope": "current_constraints"}, "HOLD", ["Required resources or prerequisites are not ready", NO_KILL]),
+    "constraint of zero": (events_of(FAILED, more=[event("project.update", "p1", *USER, id="PR", constraints={"gpu": {"status": "confirmed", "value": 0, "source": ["mail"]}})]), {"recommendation": "KILL", "kill_type": "constraints", "scope": "current_constraints"}, "KILL", ["Required resources or prerequisites are not ready"]),
+    "odd design": (events_of(without(["validation", "metric"], 5)), {}, "HOLD", ["Bounded falsifiable validation design is incomplete"]),
+    "odd member": (events_of(without(["feasibility", "dependencies"], [{"mandatory": True, "status": "met", "constraint_keys": "gpu"}, "free text"])), {}, "GO", []),
     "unconfirmed": (events_of(FAILED), {"recommendation": "KILL", "kill_type": "constraints", "scope": "current_constraints"}, "HOLD", ["Required resources or prerequisites are not ready", NO_KILL]),
     "legacy": (events_of(more=[event("result.record", "z1", *USER, id="R")]), {}, "GO", []),
 }
 
 
+#: Requests that are refused: what changes, and the error.
+REFUSED = {
+    "no stage": (events_of(), {"stage": "later"}, "unsupported stage"),
+    "no scope": (events_of(), {"scope": None}, "unsupported scope"),
+    "no recommendation": (events_of(), {"recommendation": "MAYBE", "stage": "later"}, "unsupported recommendation"),
+    "no search": (events_of(without(["search_ids"], ["S-1", "S-8", "S-9"])), {}, "unknown search.result ID: S-8"),
+    "no evidence": (events_of(without(["nearest_work"], [{"paper_id": "P-1", "evidence_ids": ["E-1", "E-5"], "decisive": True}])), {}, "unknown evidence.anchor ID: E-5"),
+    "no source": (events_of(anchor={"source_event": "f9"}), {}, "unknown source.fetch ID: f9"),
+    "no linked evidence": (events_of(link={"evidence_id": "E-7"}), {}, "unknown evidence.anchor ID: E-7"),
+}
+
+
 @pytest.fixture(scope="module")
 def assessed(spark):
     from pyspark.sql import functions as F
 
     rows = None
-    for name, (events, _, _, _) in CASES.items():
+    cases = {n: (e, m) for n, (e, m, *_) in [*CASES.items(), *REFUSED.items()]}
+    for name, (events, _) in cases.items():
         own = ledger(spark, events).withColumn("project", F.lit(name))
         rows = own if rows is None else rows.unionByName(own)
-    asked = [(name, "C", *({**ASK, **more}[k] for k in ASK)) for name, (_, more, _, _) in CASES.items()]
+    asked = [(name, "C", *({**ASK, **more}[k] for k in ASK)) for name, (_, more) in cases.items()]
     requests = spark.createDataFrame([*asked, ("go", "nobody", *ASK.values())], "project string, candidate_id string, recommendation string, stage string, scope string, kill_type string, artifacts_valid boolean")
-    return {r.project: r for r in judgment.assess(rows, requests).collect()}
+    return {r.project if r.candidate_id == "C" else r.candidate_id: r for r in judgment.assess(rows, requests).collect()}
 
 
 @pytest.mark.parametrize("name", CASES)
@@ -105,8 +124,17 @@ def test_assess(assessed, name):
         assert assessed[name].missing == missing
 
 
+@pytest.mark.parametrize("name", REFUSED)
+def test_refused(assessed, name):
+    assert (assessed[name].error, assessed[name].machine_recommendation, assessed[name].missing) == (REFUSED[name][2], None, None)
+
+
+def test_unknown_candidates_are_refused(assessed):
+    assert (assessed["nobody"].error, assessed["nobody"].machine_recommendation) == ("unknown candidate ID", None)
+
+
 def test_snapshots_leave_outcomes_out(assessed):
-    assert len(assessed) == len(CASES)
+    assert len(assessed) == len(CASES) + len(REFUSED) + 1
     assert assessed["legacy"].n_legacy == 1 and assessed["go"].n_legacy == 0
     assert assessed["legacy"].snapshot == assessed["go"].snapshot != assessed["novelty"].snapshot
     want = json.dumps({"candidate": CANDIDATE, "policy": judgment.POLICY, "science": [""] * len(events_of())}, sort_keys=True, separators=(",", ":"))
