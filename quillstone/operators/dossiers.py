@@ -175,3 +175,27 @@ def rank(tables: Mapping[str, DataFrame], fingerprints: DataFrame, results: Data
     rows = rows.withColumn("score", F.when(F.col("decision") == "GO", weighted_score(parts, weights, penalty)))
     order = Window.partitionBy("dossier", "decision").orderBy(F.desc("score"), utf16_key("idea_id"))
     return rows.withColumn("place", F.when(F.col("decision") == "GO", F.row_number().over(order))).select(*key, "decision", "score", "place", "reasons")
+
+
+def result_blockers(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(dossier, idea_id, contradiction_blocker, ambiguity_blocker) of ideas whose current version has results."""
+    from quillstone.operators.results import SCOPE, run_states
+
+    name = F.to_json(F.struct("dossier", "idea_id"))
+    scoped = lambda n, *more: tables[n].select(name.alias(SCOPE[0]), F.col("idea_version").alias(SCOPE[1]), "run_id", "id", *more)
+    runs = run_states(scoped("pilots", "supersedes", "kind", "outcome"), scoped("result_invalidations"))
+    states = runs.groupBy(*SCOPE).agg(F.bool_or("contradicted").alias("contradiction_blocker"), F.bool_or("ambiguous").alias("ambiguity_blocker"))
+    ideas = tables["ideas"].select("dossier", F.col("id").alias("idea_id"), F.col("version").alias(SCOPE[1]))
+    return ideas.withColumn(SCOPE[0], name).join(states, list(SCOPE)).select("dossier", "idea_id", "contradiction_blocker", "ambiguity_blocker")
+
+
+def rank_dossiers(dossiers: DataFrame) -> DataFrame:
+    """rank() of dossiers (dossier, body) that pass validation, by their own fingerprints and results; others have no rows."""
+    from quillstone.operators.fingerprints import basis_hashes
+    from quillstone.operators.validation import validate
+    from quillstone.plans.storage import stored
+
+    wrong = stored(validate(dossiers).where("severity = 'error'").select("dossier").distinct(), "wrong")
+    sound = dossiers.join(wrong, "dossier", "left_anti")
+    tables = children(sound)
+    return rank(tables, stored(basis_hashes(sound), "fingerprints"), result_blockers(tables))

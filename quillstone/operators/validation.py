@@ -438,12 +438,37 @@ def _screening(records: _Records) -> DataFrame:
     return told.unionByName(_notes(excluded, (F.array_contains("n_near", F.col("paper")), "warning", where, say, [16, F.col("i"), 99, F.col("j")])))
 
 
+def _bases(dossiers: DataFrame, root: DataFrame, records: _Records) -> DataFrame:
+    """What reviews that rest on the current fingerprint of their idea cite without its being the idea's."""
+    from quillstone.operators.fingerprints import basis_hashes
+
+    needs = as_items(F.try_variant_get(_field("feasibility"), "$.dependencies", "variant"))
+    names = F.transform(F.filter(needs, lambda d: kind(d) == "object"), lambda d: as_text(F.try_variant_get(d, "$.name", "variant")))
+    ideas = records.by_id("ideas", "idea", version=_same(_field("version")), attached=_attached(), needs=names)
+    rows = records["reviews"].where("version >= 2").select("dossier", "i", as_text(_field("idea_id")).alias("idea_id"), _same(_field("idea_id")).alias("idea_name"), _same(_field("idea_version")).alias("iv"), as_text(_field("review_basis_hash")).alias("basis_hash"), as_fields(_field("decision_basis")).alias("basis"))
+    rows = rows.where("basis is not null").join(ideas, ["dossier", "idea_id"]).where("iv = idea_version").join(basis_hashes(dossiers), ["dossier", "idea_id", "basis_hash"])
+    limits = root.select("dossier", F.map_keys(as_fields(F.element_at(as_fields(_field("project")), F.lit("constraints")))).alias("limits"))
+    rows = stored(rows.join(limits, "dossier"), "bases")
+    cited = lambda field: _listed(rows, as_items(_field(field, "basis"))).withColumn("name", F.coalesce(as_text(F.col("item")), F.to_json("item")))
+    within = lambda known: F.coalesce(F.array_contains(known, as_text(F.col("item"))), F.lit(False))
+    where = lambda field: F.format_string(f"reviews[%d].decision_basis.{field}", "i")
+    turn = lambda n: [BASIS, F.col("i"), n, F.col("j")]
+    say = lambda before, after="": F.concat(F.lit(before), "name", F.lit(after))
+    told = _notes(cited("evidence_ids"), (~within("idea_attached"), "error", where("evidence_ids"), say("Evidence ", " is not attached to this candidate"), turn(0)))
+    pilots = records.by_id("pilots", "p", idea=_same(_field("idea_id")), version=_same(_field("idea_version")))
+    tried = cited("pilot_ids").withColumn("p_id", as_text(F.col("item"))).join(pilots, ["dossier", "p_id"])
+    other = (~F.col("p_idea").eqNullSafe(F.col("idea_name"))) | (F.col("p_version") != F.col("iv"))
+    told = told.unionByName(_notes(tried, (other, "error", where("pilot_ids"), say("Pilot ", " is not from this candidate version"), turn(1))))
+    told = told.unionByName(_notes(cited("dependency_names").where("idea_needs is not null"), (~within("idea_needs"), "error", where("dependency_names"), say("Unknown current dependency "), turn(2))))
+    return told.unionByName(_notes(cited("constraint_keys").where("limits is not null"), (~within("limits"), "error", where("constraint_keys"), say("Unknown current constraint "), turn(3))))
+
+
 def validate(dossiers: DataFrame) -> DataFrame:
     """(dossier, severity, location, message, turn) of everything that is wrong with dossiers (dossier, body: JSON text).
 
     turn sorts the rows of a dossier into the order in which they are told, errors and warnings each for themselves. A body
     that is null, no JSON, or has a field twice in one object is told as no object. Severities are error and warning.
-    Checks of a review's basis against its current fingerprint are not among these.
+    That a run has several effective results is not told here but is a gate of the ranking.
 
     Dossiers are taken apart once; field rules meet the objects of their pattern, references and records meet by dossier
     and id.
@@ -463,6 +488,6 @@ def validate(dossiers: DataFrame) -> DataFrame:
     unknown = references.join(ids, ["dossier", "collection", "value"], "left_anti")
     say = F.concat(F.lit("unknown "), "collection", F.lit(" ID "), "value")
     told = told.unionByName(unknown.select("dossier", F.lit("error").alias("severity"), "location", say.alias("message"), F.concat("turn", F.array(F.lit(1))).alias("turn")))
-    for more in (_collections(root, records), _top(root), _evidence(records), _ideas(root, records), _reviews(records), _pilots(records), _results(records), _screening(records)):
+    for more in (_collections(root, records), _top(root), _evidence(records), _ideas(root, records), _reviews(records), _pilots(records), _results(records), _screening(records), _bases(dossiers, root, records)):
         told = told.unionByName(more)
     return told

@@ -7,7 +7,10 @@ import random
 from quillstone.functions.canonical import digest, document_json
 from quillstone.operators.fingerprints import basis_hashes, weights_hashes
 
-from .test_validation import AT, GOOD
+from quillstone.operators.dossiers import rank_dossiers
+from quillstone.operators.validation import validate
+
+from .test_validation import AT, GOOD, changed
 
 
 def units(text):
@@ -105,3 +108,55 @@ def test_weights_are_digested_alone(spark):
     rows = [("a", json.dumps(GOOD)), ("b", '{"config": {}}')]
     got = {r.dossier: r.weights_hash for r in weights_hashes(spark.createDataFrame(rows, "dossier string, body string")).collect()}
     assert got == {"a": digest(document_json(GOOD["config"]["ranking_weights"]))}
+
+
+def ready(*steps):
+    """A dossier whose review rests on its idea as it is before the steps."""
+    d = changed(
+        (("ideas", 0, "validation"), {"status": "specified", **dict.fromkeys(("prediction", "falsifier", "design", "metric", "resource_estimate", "stop_rule"), "x")}),
+        (("ideas", 0, "evidence_links", 0, "role"), "motivation"),
+        *[s for s in steps if s[0][0] == "pilots"],
+    )
+    d["reviews"][0]["review_basis_hash"] = plain_basis(d, d["ideas"][0])
+    for path, value in [s for s in steps if s[0][0] != "pilots"]:
+        at = d
+        for k in path[:-1]:
+            at = at[k]
+        at[path[-1]] = value
+    return d
+
+
+TEST = GOOD["pilots"][0]
+
+
+def test_rank_takes_fingerprints_and_results_from_the_dossier(spark):
+    made = {
+        "go": ready(),
+        "stale": ready((("ideas", 0, "title"), "another")),
+        "wrong": ready((("ideas", 0, "title"), "")),
+        "contradicted": ready((("pilots", 0), TEST | {"kind": "scientific", "outcome": "contradicted"})),
+        "two heads": ready((("pilots", 1), TEST | {"id": "T9"})),
+        "withdrawn": ready((("result_invalidations",), [{"id": "X", "run_id": "R", "idea_id": "I1", "idea_version": 2, "result_id": "T1", "reason": "r", "recorded_at": AT, "actor": "user", "trust": "T1"}])),
+    }
+    found = {r.dossier: r for r in rank_dossiers(spark.createDataFrame([(k, json.dumps(d)) for k, d in made.items()], "dossier string, body string")).collect()}
+    assert {k: r.decision for k, r in found.items()} == {"go": "GO", "stale": "HOLD", "contradicted": "HOLD", "two heads": "HOLD", "withdrawn": "HOLD"}, found
+    assert found["go"].place == 1 and found["go"].score is not None
+    assert found["contradicted"].reasons == ["An effective scientific result contradicts this candidate version"]
+    assert found["two heads"].reasons == ["An eligible run has multiple effective classification heads"]
+    assert all("stale" in found[k].reasons[0] for k in ("stale", "withdrawn"))
+
+
+def test_a_current_review_cites_what_is_its_ideas_own(spark):
+    basis = {"type": "advance", "evidence_ids": ["E1", "E2"], "pilot_ids": ["T1"], "dependency_names": ["n", "m"], "constraint_keys": ["gpu", "cpu"], "explanation": "e"}
+    more = (("evidence",), [*GOOD["evidence"], GOOD["evidence"][0] | {"id": "E2"}])
+    made = {
+        "current": ready((("reviews", 0, "decision_basis"), basis), more, (("pilots", 0), TEST | {"idea_version": 1})),
+        "stale": ready((("reviews", 0, "decision_basis"), basis), more, (("ideas", 0, "title"), "another")),
+    }
+    found = {}
+    for r in validate(spark.createDataFrame([(k, json.dumps(d)) for k, d in made.items()], "dossier string, body string")).where("severity = 'error'").orderBy("turn").collect():
+        found.setdefault(r.dossier, []).append(f"{r.location}: {r.message}")
+    at = "reviews[0].decision_basis"
+    assert found == {
+        "current": [f"{at}.evidence_ids: Evidence E2 is not attached to this candidate", f"{at}.pilot_ids: Pilot T1 is not from this candidate version", f"{at}.dependency_names: Unknown current dependency m", f"{at}.constraint_keys: Unknown current constraint cpu"]
+    }
