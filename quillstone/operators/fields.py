@@ -226,23 +226,30 @@ def hold(nodes: DataFrame, rules: list[Rule], keep: tuple[str, ...], numbers: Ma
     for name in sorted({r.check for r in rules if not r.message} - {"choice"}):
         words = words.when(check == name, say[named.get(name, name)])
     root = F.when((check == "required") & (F.col("path") == "") & (F.col("least") == 0), F.concat(F.lit(say.get("root", "")), "location")).otherwise(F.col("location"))
-    failed = met.where(~F.coalesce(ok, F.lit(False))).select(*keep, root.alias("location"), words.alias("message"), "turn")
-
-    # what stands in arrays, and in objects of texts; of references and artifacts all items are read once for their kind, then again
-    listed = met.where(check.isin("strings", "refs", "artifacts", "objects")).select(*keep, "location", "check", "args", "turn", F.posexplode(as_items(value)).alias("i", "item"))
-    item, at = F.col("item"), lambda *more: F.concat("turn", F.array(*more))
-    listed = listed.withColumn("location", F.format_string("%s[%d]", "location", "i"))
-    blank, plain, again = ~has_text(item), F.lit(say["text"]), lambda *names: check.isin(*names)
-    for when, message, place in (
-        ((check == "objects") & (kind(item) != "object"), F.lit(say["object"]), at("i", F.lit(0))),
-        (again("strings", "refs", "artifacts") & blank, plain, at(F.lit(0), "i")),
-        (again("refs") & blank, plain, at(F.lit(1), "i")),
-        (again("artifacts") & ~is_artifact(as_text(item)), F.lit(say.get("artifacts", "")), at(F.lit(1), "i")),
-    ):
-        failed = failed.unionByName(listed.where(when).select(*keep, "location", message.alias("message"), place.alias("turn")))
-    texts = met.where((check == "texts") & is_kind("object")).select(*keep, "location", "turn", F.explode(as_fields(value)).alias("k", "item"))
-    failed = failed.unionByName(texts.where(blank).select(*keep, F.concat("location", F.lit("."), "k").alias("location"), plain.alias("message"), "turn"))
-
-    one = met.where((check == "ref") & has_text(value)).select(*keep, "location", F.col("args")[0].alias("collection"), text.alias("value"), "turn")
-    many = listed.where((check == "refs") & has_text(item)).select(*keep, "location", F.col("args")[0].alias("collection"), as_text(item).alias("value"), at(F.lit(1), "i").alias("turn"))
-    return failed, one.unionByName(many)
+    told = lambda what, location, message, value, place: F.struct(F.lit(what).alias("what"), location.alias("location"), message.alias("message"), value.cast("string").alias("value"), place.alias("turn"))
+    nothing, location, turn, args = F.lit(None), F.col("location"), F.col("turn"), F.col("args")
+    none = F.array().cast("array<struct<what:string,location:string,message:string,value:string,turn:array<int>>>")
+    own = F.array_compact(F.array(
+        F.when(~F.coalesce(ok, F.lit(False)), told("failed", root, words, nothing, turn)),
+        F.when((check == "ref") & has_text(value), told("ref", location, args[0], text, turn)),
+    ))
+
+    def of_item(item: Column, i: Column) -> Column:
+        """Of references and artifacts all items are read once for their kind, then again."""
+        at, blank = F.format_string("%s[%d]", location, i), ~has_text(item)
+        place = lambda *more: F.concat(turn, F.array(*more))
+        return F.array_compact(F.array(
+            F.when((check == "objects") & (kind(item) != "object"), told("failed", at, F.lit(say["object"]), nothing, place(i, F.lit(0)))),
+            F.when(check.isin("strings", "refs", "artifacts") & blank, told("failed", at, F.lit(say["text"]), nothing, place(F.lit(0), i))),
+            F.when((check == "refs") & blank, told("failed", at, F.lit(say["text"]), nothing, place(F.lit(1), i))),
+            F.when((check == "refs") & ~blank, told("ref", at, args[0], as_text(item), place(F.lit(1), i))),
+            F.when((check == "artifacts") & ~is_artifact(as_text(item)), told("failed", at, F.lit(say.get("artifacts", "")), nothing, place(F.lit(1), i))),
+        ))
+
+    listed = F.when(check.isin("strings", "refs", "artifacts", "objects"), F.flatten(F.transform(as_items(value), of_item)))
+    texts = F.filter(F.map_entries(as_fields(value)), lambda e: ~has_text(e["value"]))
+    texts = F.when(check == "texts", F.transform(texts, lambda e: told("failed", F.concat(location, F.lit("."), e["key"]), F.lit(say["text"]), nothing, turn)))
+    found = met.select(*keep, F.explode(F.concat(own, F.coalesce(listed, none), F.coalesce(texts, none))).alias("t")).select(*keep, "t.*")
+    found = stored(found, "told")
+    failed = found.where("what = 'failed'").select(*keep, "location", "message", "turn")
+    return failed, found.where("what = 'ref'").select(*keep, "location", F.col("message").alias("collection"), "value", "turn")
