@@ -823,3 +823,37 @@ def last_view_before_purchase(t: Tables) -> DataFrame:
     found = latest_before(bought, views, ["client_id"], "ts", "view_id")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return found.select("click_id", "client_id", "value", "found.view_id", (micros("ts") - micros("found.ts")).alias("waited"))
+
+
+# --- replay -----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH b AS (SELECT page_id, count(*) AS n FROM (" + ORACLE_SQL["html_blocks"] + """) GROUP BY 1)
+       SELECT page_id, 'receipt.bytes' AS field, (octet_length(encode(html)) + 1)::VARCHAR AS stored, octet_length(encode(html))::VARCHAR AS computed FROM pages WHERE page_id % 7 = 3
+       UNION ALL SELECT page_id, 'receipt.raw_sha256', sha256(url), sha256(html) FROM pages WHERE page_id % 7 = 4
+       UNION ALL SELECT page_id, 'raw_sha256', sha256(html), sha256(url) FROM pages WHERE page_id % 7 = 4
+       UNION ALL SELECT page_id, 'block_count', '0', n::VARCHAR FROM pages JOIN b USING (page_id) WHERE page_id % 7 = 5
+       UNION ALL SELECT page_id, 'receipt.artifact', 'raw/-' || page_id, NULL FROM pages WHERE page_id % 7 = 6"""
+)
+def receipt_replay(t: Tables) -> DataFrame:
+    """Pages as retained files; of their fetches every seventh each has a forged size, hash, block count or path."""
+    from quillstone.sources.html import block_rows
+    from quillstone.sources.replay import replay
+
+    own = F.col("page_id").cast("string")
+    digest, forged = F.sha2("html", 256), lambda n: F.col("page_id") % 7 == n
+    counts = block_rows(t.pages.select("page_id", "html"), "page_id").groupBy("page_id").agg(rows_of_group().alias("n"))
+    pages = t.pages.join(counts, "page_id", "left").fillna(0, ["n"])
+    receipt = F.struct(
+        F.concat(F.lit("raw/"), F.when(forged(6), F.lit("-")).otherwise(""), own).alias("artifact"),
+        F.when(forged(4), F.sha2("url", 256)).otherwise(digest).alias("raw_sha256"),
+        (F.octet_length("html") + F.when(forged(3), 1).otherwise(0)).alias("bytes"),
+        F.lit("text/html").alias("content_type"),
+    )
+    data = F.to_variant_object(F.struct(receipt.alias("receipt"), digest.alias("raw_sha256"), F.lit("text/html").alias("media_type"), F.when(forged(5), 0).otherwise(F.col("n")).alias("block_count"), F.lit("html-stdlib-v1").alias("extractor")))
+    host = F.regexp_extract("url", "^[^:/?#]+://([^/?#]*)", 1)
+    events = pages.select(host.alias("project"), F.col("page_id").alias("line_no"), own.alias("id"), F.lit("source.fetch").alias("type"), data.alias("data"))
+    files = t.pages.select(host.alias("project"), F.concat(F.lit("raw/"), own).alias("path"), F.col("html").cast("binary").alias("content"))
+    told = replay(events, files).where(F.col("field").isin("receipt.artifact", "receipt.raw_sha256", "receipt.bytes", "raw_sha256", "block_count", "extractor"))
+    return told.select(F.col("line_no").alias("page_id"), "field", "stored", "computed")

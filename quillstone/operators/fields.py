@@ -93,7 +93,6 @@ def walk(documents: DataFrame, turns: Mapping[str, int] | None = None) -> DataFr
     spark = documents.sparkSession
     numbers = F.create_map(*[F.lit(x) for p in turns.items() for x in p]) if turns else F.create_map().cast("map<string,int>")
     level = documents.where("v is not null").select(*keep, F.lit("").alias("path"), F.lit("").alias("pattern"), F.array().cast("array<int>").alias("turn"), kind(F.col("v")).alias("kind"), F.col("v").alias("value"))
-    level = stored(level, "nodes")
     found = level
     while not (inner := level.where("kind in ('object', 'array')")).isEmpty():
         parts = inner.withColumnRenamed("value", "whole").lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))

@@ -285,3 +285,11 @@ def assess(events: DataFrame, requests: DataFrame) -> DataFrame:
     rows = rows.withColumn("error", error)
     sound = lambda c: F.when(F.col("error").isNull(), c)
     return rows.select(*_KEY, "version", "snapshot", sound(decision).alias("machine_recommendation"), "stage", "scope", "kill_type", sound(missing).alias("missing"), F.coalesce("n_legacy", F.lit(0)).alias("n_legacy"), "error")
+
+
+def assess_with_files(events: DataFrame, requests: DataFrame, files: DataFrame, generator: str | None = None) -> DataFrame:
+    """assess() with artifacts_valid from the replay of the projects' retained files (project, path, content)."""
+    from quillstone.sources.replay import verify_artifacts
+
+    verified = stored(verify_artifacts(events, files, generator).select("project", "artifacts_valid"), "verified")
+    return assess(events, requests.drop("artifacts_valid").join(verified, "project", "left"))
