@@ -200,19 +200,23 @@ def hold(nodes: DataFrame, rules: list[Rule], keep: tuple[str, ...], numbers: Ma
     says = F.coalesce(as_text(other) == F.col("when")[2], F.lit(False))
     met = met.where(F.when(op == "is", says).when(op == "is_not", ~says).when(op == "has", F.map_contains_key("fields", F.col("when")[0])).when(op == "lacks", ~F.map_contains_key("fields", F.col("when")[0])).otherwise(True))
     met = met.withColumn("kind", kind(value)).withColumn("location", F.when(F.col("path") == "", F.col("field")).otherwise(F.concat("path", F.lit("."), "field"))).withColumn("turn", F.concat("at", "place"))
-    text, number = as_text(value), as_number(value)
     is_kind = lambda k: F.col("kind") == k
+    # the shape of a value is looked at once, what is in it once more
+    real = F.when(is_kind("number"), F.try_variant_get(value, "$", "double"))
+    met = met.withColumn("text", F.when(is_kind("string"), F.try_variant_get(value, "$", "string"))).withColumn("number", real)
+    text, number = F.col("text"), F.when(F.abs("number") < float("inf"), F.col("number"))
+    spoken, whole_number = F.coalesce(~text.rlike(BLANK), F.lit(False)), F.coalesce(number == F.floor(number), F.lit(False))
     ok = (
         F.when(check == "required", F.col("there"))
         .when(check.isin("object", "texts"), is_kind("object"))
         .when(check.isin("objects", "array", "strings", "refs", "artifacts"), is_kind("array"))
-        .when(check.isin("text", "ref"), has_text(value))
+        .when(check.isin("text", "ref"), spoken)
         .when(check == "string", is_kind("string"))
         .when(check == "boolean", is_kind("boolean"))
         .when(check == "date", timestamp_key(text).isNotNull())
-        .when(check == "positive", whole(value) & (number > 0))
-        .when(check == "whole_or_null", F.col("there") & (is_kind("null") | whole(value)))
-        .when(check == "score", F.col("there") & (is_kind("null") | (whole(value) & number.between(0, 4))))
+        .when(check == "positive", whole_number & (number > 0))
+        .when(check == "whole_or_null", F.col("there") & (is_kind("null") | whole_number))
+        .when(check == "score", F.col("there") & (is_kind("null") | (whole_number & number.between(0, 4))))
         .when(check == "number_least_0", number >= 0)
         .when(check == "choice", F.array_contains("args", text))
         .when(check == "hash", text.rlike(HEX))
@@ -230,7 +234,7 @@ def hold(nodes: DataFrame, rules: list[Rule], keep: tuple[str, ...], numbers: Ma
     none = F.array().cast("array<struct<what:string,location:string,message:string,value:string,turn:array<int>>>")
     own = F.array_compact(F.array(
         F.when(~F.coalesce(ok, F.lit(False)), told("failed", root, words, nothing, turn)),
-        F.when((check == "ref") & has_text(value), told("ref", location, args[0], text, turn)),
+        F.when((check == "ref") & spoken, told("ref", location, args[0], text, turn)),
     ))
 
     def of_item(item: Column, i: Column) -> Column:

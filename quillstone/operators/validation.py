@@ -238,7 +238,7 @@ class _Records:
     """The records of each collection: dossier, version, i (place in the collection), id (text or null), fields."""
 
     def __init__(self, nodes: DataFrame):
-        rows = nodes.where("pattern like '%[]' and size(turn) = 2").select("dossier", "version", F.substring_index("pattern", "[", 1).alias("collection"), F.col("turn")[1].alias("i"), "kind", as_fields(F.col("value")).alias("fields"))
+        rows = nodes.where("pattern like '%[]' and size(turn) = 2").select("dossier", "version", F.substring_index("pattern", "[", 1).alias("collection"), F.get("turn", F.lit(1)).alias("i"), "kind", as_fields(F.col("value")).alias("fields"))
         since = F.create_map(*[F.lit(x) for c in COLLECTIONS for x in (c, SINCE.get(c, 0))])
         rows = rows.where(F.col("version") >= since[F.col("collection")])
         self.all = stored(rows.withColumn("id", as_text(F.element_at("fields", F.lit("id")))), "records")
