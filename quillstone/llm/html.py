@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -47,26 +49,35 @@ _NOISE_NAMES = frozenset(
     "sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus reply replies respond share sharing social "
     "related recommended recommendations newsletter subscribe subscription signup login widget widgets pagination pager skip copyright disclaimer".split()
 )
-#: Elements that text itself is made of: there a name marks noise only if all its words do ("cookie-notice", not "share-price").
-_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure figcaption table td th tr tbody span em strong b i u a code q cite abbr mark time sub sup math".split())
+#: Words that say nothing of what an element holds: with these beside it a noise word still marks ("comments-section"),
+#: with any other it doesn't inside an article ("related-work", "share-price").
+_NEUTRAL_NAMES = frozenset(
+    "list box container wrapper wrap section block area bar panel row col column group item items link links button buttons icon icons slot unit zone inner outer content body title heading "
+    "label text top bottom left right main site page post posts article articles story stories entry thread form user js is has new all"
+    .split()
+)
+_COMMENT_NAMES = frozenset("comment comments reply replies ad ads advert sponsored related recommended promo".split())
 _KEPT_TAGS = frozenset("html body main".split())
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_DIGITS = re.compile(r"[0-9]+")
+#: What an element's own tag says: text, never text, or text only if the article is around it.
+_TEXT, _NOISE, _DOUBTFUL = 0, 1, 2
 
 
 class Node:
     __slots__ = ("tag", "parent", "items", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
+    def __init__(self, tag: str, parent: Node | None, noise: int):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.items: list = []  # texts and nodes, in page order
 
 
-def _is_noise(tag: str, attrs: str, inside_article: bool) -> bool:
+def _noise(tag: str, attrs: str, inside_article: bool, in_code: bool) -> int:
     if tag in _NOISE_TAGS or (tag == "header" and not inside_article):
-        return True
+        return _NOISE
     if not attrs or not attrs.strip():
-        return False
+        return _TEXT
     names: list[str] = []
     for m in _ATTRIBUTE.finditer(attrs):
         key = (m[1] or m[5]).lower()
@@ -74,30 +85,49 @@ def _is_noise(tag: str, attrs: str, inside_article: bool) -> bool:
         if key in ("class", "id"):
             names.append(_CAMEL.sub("-", value).lower())
         elif key == "role" and value.strip().lower() in _NOISE_ROLES:
-            return True
+            return _NOISE
         elif (key == "hidden" and value.lower() != "false") or (key == "aria-hidden" and value.lower() == "true"):
-            return tag not in _KEPT_TAGS
+            return _TEXT if tag in _KEPT_TAGS else _NOISE
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return tag not in _KEPT_TAGS
+            return _TEXT if tag in _KEPT_TAGS else _NOISE
     if tag in _KEPT_TAGS:
-        return False
-    parts = {p for n in names for p in _NAME_PARTS.split(n)}
+        return _TEXT
+    split = [set(filter(None, _NAME_PARTS.split(_DIGITS.sub("", name)))) for n in names for name in n.split()]
     if tag == "article":
-        return not parts.isdisjoint({"comment", "comments", "reply", "ad", "advert", "related", "promo"})
-    if inside_article and tag in _TEXT_TAGS:
-        return any(own and own <= _NOISE_NAMES for n in names for own in (set(filter(None, _NAME_PARTS.split(name))) for name in n.split()))
-    return not parts.isdisjoint(_NOISE_NAMES) or (not inside_article and "header" in parts)
+        return _NOISE if any(_marks(own, _COMMENT_NAMES) for own in split) else _TEXT
+    if in_code or tag in ("pre", "code"):  # names there are those of a highlighter
+        return _TEXT
+    if any(_marks(own, _NOISE_NAMES) for own in split):
+        return _NOISE
+    if inside_article:
+        return _TEXT
+    return _DOUBTFUL if any(not own.isdisjoint(_NOISE_NAMES) or "header" in own for own in split) else _TEXT
+
+
+def _marks(own: set[str], noise: frozenset[str]) -> bool:
+    return not own.isdisjoint(noise) and own <= noise | _NEUTRAL_NAMES
 
 
 def parse(html: str) -> Node:
-    """A lenient tree: missing end tags are implied, stray ones are ignored; depth doesn't matter."""
-    root = Node("#root", None, False)
+    """A lenient tree: missing end tags are implied, stray ones are ignored; depth doesn't matter.
+
+    The places of open elements are kept by kind, so that no tag walks the open elements: time is linear in the page.
+    """
+    root = Node("#root", None, _TEXT)
     stack = [root]
-    open_tags: dict[str, int] = {}
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a kind, outermost first
+    blocks: list[int] = []  # of the open block elements
     at = 0
 
-    def pop() -> None:
-        open_tags[stack.pop().tag] -= 1
+    def pop_to(depth: int) -> None:
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in _BLOCK:
+                blocks.pop()
+
+    def nearest(kinds: set[str]) -> int:
+        return max((places[k][-1] for k in kinds if places[k]), default=0)
 
     last = html.rfind(">") + 1  # nothing behind it is a tag
     while True:
@@ -117,37 +147,24 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m["end"]:
-            if tag == "br" or tag == "p" and not open_tags.get("p"):
-                stack[-1].items.append(Node("br", stack[-1], False))
-            elif open_tags.get(tag):
-                while stack[-1].tag != tag:
-                    pop()
-                pop()
+            if tag == "br" or tag == "p" and not places["p"]:
+                stack[-1].items.append(Node("br", stack[-1], _TEXT))
+            elif places[tag]:
+                pop_to(places[tag][-1])
             continue
-        if tag in _CLOSES_P and open_tags.get("p"):
-            # an open p ends with what it holds, but only the one of the nearest block
-            depth = len(stack) - 1
-            while stack[depth].tag != "p" and stack[depth].tag not in _BLOCK and depth:
-                depth -= 1
-            if stack[depth].tag == "p":
-                while len(stack) > depth:
-                    pop()
+        if tag in _CLOSES_P and places["p"] and blocks[-1] == places["p"][-1]:
+            pop_to(blocks[-1])  # an open p ends with what it holds, but only if it is the nearest block
         if tag in _ENDS:
             kinds, border = _ENDS[tag]
-            depth = len(stack) - 1
-            found = 0
-            while depth and stack[depth].tag not in border:
-                if stack[depth].tag in kinds:
-                    found = depth
-                depth -= 1
+            edge = nearest(border)
+            found = min((p[i] for p in map(places.__getitem__, kinds) if (i := bisect_right(p, edge)) < len(p)), default=0)
             if found:
-                while len(stack) > found:
-                    pop()
-        if tag in ("html", "body", "head") and open_tags.get(tag):
+                pop_to(found)
+        if tag in ("html", "body", "head") and places[tag]:
             continue
         attrs = m["attrs"]
-        inside = bool(open_tags.get("article") or open_tags.get("main"))
-        node = Node(tag, stack[-1], _is_noise(tag, attrs, inside))
+        inside = bool(places["article"] or places["main"])
+        node = Node(tag, stack[-1], _noise(tag, attrs, inside, bool(places["pre"] or places["code"])))
         stack[-1].items.append(node)
         if tag in _RAW_END:
             end = _RAW_END[tag].search(html, at)
@@ -157,8 +174,10 @@ def parse(html: str) -> Node:
             close = html.find(">", stop)
             at = close + 1 if end and close >= 0 else len(html)
         elif tag not in _VOID and not (attrs.endswith("/") and tag in ("svg", "path")):
+            places[tag].append(len(stack))
+            if tag in _BLOCK:
+                blocks.append(len(stack))
             stack.append(node)
-            open_tags[tag] = open_tags.get(tag, 0) + 1
 
 
 def _walk(root: Node) -> list[Node]:
@@ -200,7 +219,8 @@ def _score(order: list[Node]) -> None:
             node.total = max(node.total, node.density)
 
 
-def _text(nodes: list[Node]) -> str:
+def _text(nodes: list[Node | str], doubtful: bool = False) -> str:
+    """Blocks of the nodes in page order, without noise; with what is doubtful inside them only if asked for."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -218,12 +238,12 @@ def _text(nodes: list[Node]) -> str:
                 run.append(x)
             elif x is None:
                 flush()
-            elif not x.noise or x is top:
+            elif not x.noise or x is top or (doubtful and x.noise == _DOUBTFUL):
                 if x.tag in _BLOCK:
                     flush()
                     todo.append(None)
                 todo += reversed(x.items)
-        flush()
+    flush()
     return " ".join(blocks)
 
 
@@ -238,22 +258,36 @@ def extract(html: str | None) -> str:
     best = max(inside, key=lambda n: n.total)
     if not best.chars:
         return ""
-    # the least density on the path from the body is the threshold of what counts as content
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        if node is body:
-            break
-        node = node.parent
-    threshold = min(n.density for n in path if n.chars)
+    path = [best]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
     articles = [n for n in path if n.tag in ("article", "main")]
     if articles:
-        return _text([articles[0]])
-    if best is body or best.parent is None:
-        return _text([best])
-    # parts of an article that are split over like siblings
-    like = [x for x in best.parent.items if type(x) is Node and not x.noise and (x is best or (x.tag == best.tag and x.chars and x.density >= threshold and x.link_chars * 3 < x.chars) or re.fullmatch("h[1-6]|p|blockquote|pre|ul|ol|table|figure", x.tag))]
-    return _text(like)
+        whole = articles[-1]  # the outermost: what lies around and beside an inner one is text too
+        return _text([x for x in whole.parent.items if x is whole or (whole.tag == "article" and type(x) is Node and x.tag == "article" and _like(x))])
+    if len(path) == 1:
+        # the body itself: of several articles in it, those that are mostly links only point to others
+        several = any(type(x) is Node and x.tag == "article" and x.chars and _like(x) for x in best.items)
+        return _text([x for x in best.items if not (type(x) is Node and (x.noise or (several and x.tag == "article" and not _like(x))))])
+    # an article may be split over siblings; further from it they must be as dense as the path from the body, and long
+    threshold = min(n.density for n in path if n.chars)
+    parts: list[Node | str] = [best]
+    for below, node in zip(path, path[1:], strict=False):
+        place = next(i for i, x in enumerate(node.items) if x is below)
+        part = [x is not below and (_like(x) if below is best else _dense(x, below.tag, threshold, best.chars)) for x in node.items]
+        parts = [x for x, own in zip(node.items[:place], part, strict=False) if own] + parts + [x for x, own in zip(node.items[place:], part[place:], strict=True) if own]
+    return _text(parts, doubtful=True)
+
+
+def _like(x: Node | str) -> bool:
+    """Whether a neighbour of the article is part of it: anything that is not mostly links."""
+    return bool(x.strip()) if type(x) is str else not x.noise and x.link_chars * 3 <= x.chars
+
+
+def _dense(x: Node | str, tag: str, threshold: float, chars: int) -> bool:
+    if type(x) is str or not _like(x):
+        return False
+    return x.tag == "h1" or (x.tag == tag and x.density >= threshold and x.chars * 4 >= chars)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +303,9 @@ def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"))
 
     Link-adjusted characters per tag (composite text density) are computed for every node that is not a menu, form,
     script, advert, notice or the like; the node whose children's densities sum highest is the article, up to the
-    article or main element around it. Like siblings as dense as the path from the body are parts of it.
+    outermost article or main element around it. Without such an element its neighbours are parts of it unless they are
+    mostly links; further out, neighbours of the same kind that are as dense as the path from the body and a quarter as
+    long, and the first heading. Names mark noise by all their words, outside of the article by one.
 
     Null, empty and textless pages have the empty text. Repeated rows get a row each. An empty table gives no rows.
     """

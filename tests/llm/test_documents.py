@@ -1,9 +1,10 @@
 """Operators on texts, row by row, against plain Python."""
 
-import time
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -62,12 +63,72 @@ def test_rule_policies_and_ablations(spark):
         ("<article><p>kept</p><section class=comments><article class=comment><p>" + "reader words " * 40 + "</p></article></section></article>", "kept"),
         ("<p>unclosed <!-- comment <p>never", "unclosed"),
         ("<div>" * 20_000 + "deep", "deep"),
+        ("<article><p>a</p><section class='related-work'><p>b</p></section><div class='share-price-table'>c</div><div id='notice-of-motion'>d</div></article>", "a b c d"),
+        ("<article><p>a</p><pre class=comment>b <span class=comment>c</span></pre><div class='comment-list'>no</div><div class='shareButtons'>no</div></article>", "a b c"),
+        ("<main><h1>T</h1><article><p>a long first text</p></article></main>", "T a long first text"),
+        ("<main><article><p>a long first text</p></article><article><p>the second</p></article></main>", "a long first text the second"),
+        ("<body><article><p>a long first text</p></article><article><p>the second</p></article><article><a href=x>teaser</a></article></body>", "a long first text the second"),
+        ("<div><span>Stand first.</span><div><p>" + "long " * 60 + "</p><p>more of it</p></div><div>One sentence.</div><div><a href=x>a link</a></div></div>", "Stand first. " + "long " * 60 + "more of it One sentence."),
+        ("<body><div class='ad-leaderboard'>Buy now!</div><div><p>One paragraph of text.</p><div class='notice-of-motion'>Moved.</div><p>Another.</p></div></body>", "One paragraph of text. Moved. Another."),
+        ("one <b>w</b>ord<div>a block of text</div>en<i>d</i>", "one word a block of text end"),
+        ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>", "a b c d e f g"),
     ],
 )
 def test_pages(page, text):
     assert html.extract(page) == text
 
 
+def plain_densities(node, body=None):
+    """Node -> (density, sum): every node looks at all its descendants anew."""
+
+    def below(n):
+        return [x for c in n.items if isinstance(c, html.Node) and not c.noise for x in (c, *below(c))]
+
+    def letters(n):
+        return sum(len("".join(x.split())) for m in (n, *below(n)) for x in m.items if isinstance(x, str))
+
+    def links(n):
+        """Characters within links, and the links."""
+        own = [n] if n.tag == "a" else [x for x in below(n) if x.tag == "a"]
+        outer = [x for x in own if not any(x in below(y) for y in own)]
+        return sum(map(letters, outer)), sum(x.tag == "a" for x in (n, *below(n)))
+
+    lb, cb = links(node)[0], letters(node)
+    found = {}
+    for n in (node, *below(node)):
+        c, t = letters(n), max(len(below(n)), 1)
+        lc, lt = links(n)
+        if not c:
+            found[n] = 0.0
+        elif not lc:
+            found[n] = c / t * math.log(max(c * t, 2)) / math.log(lb / cb * c + math.e)
+        else:
+            base = math.log(c / max(c - lc, 1) * lc + lb / cb * c + math.e)
+            found[n] = c / t * max(math.log(c / lc * t / max(lt, 1)), 0.0) / base
+    sums = {n: sum(found[x] for x in n.items if isinstance(x, html.Node) and x in found) for n in found}
+    return {n: (found[n], max(sums[n], found[n]) if any(isinstance(x, str) and x.strip() for x in n.items) else sums[n]) for n in found}
+
+
+def test_densities_like_plainly():
+    rng = random.Random(5)
+    for _ in range(150):
+        page = "".join(rng.choice(["<div>", "</div>", "<p>", "</p>", "<a href=x>", "</a>", "<span>", "</span>", "<nav>", "</nav>", "<li>", "some words ", "x", " "]) for _ in range(40))
+        root = html.parse(page)
+        order = html._walk(root)
+        html._score(order)
+        plain = plain_densities(root)
+        assert len(order) == len(plain)
+        for n in order:
+            assert (n.density, n.total) == pytest.approx(plain[n], rel=1e-9), page
+
+
+@pytest.mark.parametrize("page", ["<span>" * 60_000 + "<li>" * 60_000, "<p><caption>" + "<span>" * 60_000 + "<hr>" * 60_000, "<ul>" + "<li><b>" * 60_000])
+def test_parse_is_linear(page):
+    start = time.monotonic()
+    html.extract(page + "end")
+    assert time.monotonic() - start < 20
+
+
 def test_pages_as_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>"), (1, "u", "<p>a b</p>"), (None, None, None), (2, "v", "")], "page_id long, url string, html string")
     got = html.extract_pages(clashing(pages)).collect()
