@@ -1,5 +1,6 @@
 """Operators on small literals."""
 
+import json
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from quillstone.functions import text as T
 from quillstone.functions.canonical import CanonicalError, digest, document_json, ledger_json, number_text
 from quillstone.operators import anchors, chain, folds, graph, links, ranking
 from quillstone.sources.html import block_rows
-from quillstone.sources.ledger import ACTORS, LedgerWriter, RULES, read_anchors, read_events, summarize
+from quillstone.sources.ledger import ACTORS, LedgerWriter, RULES, payload_error, read_anchors, read_events, refusal, summarize
 from pyspark.sql import functions as F
 
 
@@ -143,6 +144,8 @@ def test_blocks(spark):
     assert [(r.start_at, r.end_at) for r in found[8]] == [(0, 2), (5, 8)]
 
 
+#: Members of results that no generic sample of their kind fits.
+OF_RESULTS = {"kind": "smoke", "outcome": "not_run", "recorded_at": "2024-01-01T00:00:00Z"}
 SAMPLE = {"text": "x", "any text": "", "null or text": None, "integer": 3, "positive integer": 1, "boolean": True, "array": [], "object": {}}
 
 
@@ -150,7 +153,8 @@ def test_ledger_round_trip_and_tampering(spark, tmp_path):
     writer = LedgerWriter(tmp_path / "one")
     for kind, fields in RULES.items():
         actor, trust = ACTORS[kind][0]
-        writer.append(kind, {f: SAMPLE[r] for f, r in fields}, actor, trust)
+        own = OF_RESULTS if kind.startswith("result.") else {}
+        writer.append(kind, {f: own.get(f, SAMPLE[r]) for f, r in fields}, actor, trust)
     found = summarize(read_events(spark, str(tmp_path)), read_anchors(spark, str(tmp_path))).first()
     assert found.valid and found.event_count == len(RULES) and found.anchor == "matched", found.errors
     lines = writer.path.read_text().splitlines()
@@ -201,3 +205,53 @@ def test_payload_errors_name_the_first_field(spark, tmp_path):
         "invalid event payload at line 2: candidate.upsert: version must be a positive integer",
         "invalid event payload at line 3: reading.retract payload fields mismatch",
     ]
+
+
+def test_a_bad_byte_is_the_fault_of_its_line(spark, tmp_path):
+    writer = LedgerWriter(tmp_path)
+    for n in range(3):
+        writer.append("claim.add", {"text": f"ü\u2028{n}", "candidate_id": "c", "candidate_version": 1, "kind": "k", "load_bearing": True}, "model", "T2")
+    assert summarize(read_events(spark, str(tmp_path))).first().errors == []
+    lines = writer.path.read_bytes().split(b"\n")
+    lines[1] = lines[1].replace("ü".encode(), b"\xff")
+    writer.path.write_bytes(b"\n".join(lines))
+    errors = summarize(read_events(spark, str(tmp_path))).first().errors
+    assert set(errors) == {"line is not UTF-8 at line 2", "event hash mismatch at line 2"}
+
+
+def _any_result(rng, kind):
+    """A valid payload with up to two members changed, dropped or added."""
+    record = kind == "result.record"
+    data = {"id": "R-1", "run_id": "run", "candidate_id": "c", "candidate_version": 1}
+    if record:
+        data |= {"kind": "smoke", "outcome": "supported", "artifacts": ["a/b.csv"], "summary": "s", "limitations": [], "affected_claims": [{"claim_id": "x", "reason": "y"}]}
+    else:
+        data |= {"result_id": "R-0", "reason": "wrong", "recorded_at": "2024-02-29T10:00:00+05:30"}
+    values = [None, "", " \u3000", "t", 0, 3, True, 1.5, [], ["a"], [1], {}, "not_run", "scientific", [{"claim_id": "x"}], [{"claim_id": " ", "reason": "r"}], [{"claim_id": "x", "reason": "r", "z": 1}]]
+    values += [[u] for u in ("https://h.org/x", "http://u:p@h/x", "file:///x", "file://", "c:\\\\x", "ftp://h", "https://:80", "https://h:99999/", "mailto:x", "http://[::1]:80/", "a b", "a\x01")]
+    values += ["2024-02-30T10:00Z", "2024-02-29T10:00", "2023-01-01T23:59:59.123Z", "2023-01-01T10:00:00+24:00", "2023-01-01T10:00:00-2359", "0000-01-01T00:00Z"]
+    for _ in range(rng.randrange(3)):
+        change = rng.random()
+        if change < 0.15:
+            data.pop(rng.choice(list(data)), None)
+        elif change < 0.35:
+            data[rng.choice(["supersedes", "reason", "more"])] = rng.choice(["R-2", "", 5])
+        else:
+            data[rng.choice(list(data))] = rng.choice(values)
+    return data
+
+
+def test_both_checkers_of_payloads_agree(spark):
+    rng = random.Random(3)
+    payloads = [(kind, _any_result(rng, kind)) for kind in ("result.record", "result.invalidate") for _ in range(600)]
+    for kind, fields in RULES.items():
+        for field, _ in fields:
+            good = {f: {"text": "t", "any text": "", "null or text": None, "integer": 0, "positive integer": 1, "boolean": True, "array": [], "object": {}}[r] for f, r in fields}
+            payloads += [(kind, good | {field: v}) for v in ("", " ", "t", None, 0, 2, 2.5, True, [], {})] + [(kind, {f: v for f, v in good.items() if f != field}), (kind, good | {"more": 1})]
+    payloads += [(kind, data) for kind in RULES for data in ([], "text", None, 4)]
+    rows = [(n, kind, json.dumps(data)) for n, (kind, data) in enumerate(payloads)]
+    table = spark.createDataFrame(rows, "n long, type string, text string").withColumn("data", F.parse_json("text"))
+    said = {r.n: r.e for r in table.select("n", payload_error().alias("e")).collect()}
+    wrong = [(payloads[n], said[n], refusal(*payloads[n])) for n in range(len(payloads)) if said[n] != refusal(*payloads[n])]
+    assert not wrong, (len(wrong), wrong[:5])
+    assert len(set(said.values())) > 100
