@@ -857,3 +857,53 @@ def receipt_replay(t: Tables) -> DataFrame:
     files = t.pages.select(host.alias("project"), F.concat(F.lit("raw/"), own).alias("path"), F.col("html").cast("binary").alias("content"))
     told = replay(events, files).where(F.col("field").isin("receipt.artifact", "receipt.raw_sha256", "receipt.bytes", "raw_sha256", "block_count", "extractor"))
     return told.select(F.col("line_no").alias("page_id"), "field", "stored", "computed")
+
+
+# --- cursor pages -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH d AS (SELECT doc_id // 50 AS s, doc_id % 50 // 10 AS p, doc_id, '10.1234/' || coalesce(lang, '') || '.' || doc_id % 23 AS doi, CASE WHEN n_chars % 11 <> 0 THEN source || ' ' || doc_id END AS title FROM documents),
+       first AS (SELECT s, doi, min(p) AS p FROM d WHERE title IS NOT NULL GROUP BY 1, 2),
+       new AS (SELECT s, p, count(*) AS n_new FROM first GROUP BY 1, 2),
+       pages AS (SELECT s, p, count(*) AS n, row_number() OVER (PARTITION BY s ORDER BY p) - 1 AS i FROM d GROUP BY 1, 2),
+       ends AS (SELECT s, p, i, CASE WHEN p <> i THEN 'missing' WHEN s % 7 = 6 AND p = 2 THEN 'http' WHEN n < 10 OR (s % 3 = 0 AND sum(coalesce(n_new, 0)) OVER (PARTITION BY s ORDER BY p) >= 30) THEN 'exhausted'
+                WHEN s % 5 = 2 AND p = 3 THEN 'cursor' END AS why FROM pages LEFT JOIN new USING (s, p)),
+       met AS (SELECT s, coalesce(arg_min(why, p) FILTER (why IS NOT NULL), CASE WHEN count(*) < 5 THEN 'missing' END) AS why, coalesce(min(i) FILTER (why IS NOT NULL), -1) AS i, count(*) AS n FROM ends GROUP BY 1),
+       taken AS (SELECT s, why, coalesce(why IN ('missing', 'http'), false) AS failed, CASE WHEN i < 0 THEN n WHEN why IN ('missing', 'http') THEN i ELSE i + 1 END AS pages_received FROM met),
+       own AS (SELECT d.* FROM d JOIN taken USING (s) WHERE p < pages_received),
+       skipped AS (SELECT s, count(*) AS n_skipped FROM own WHERE title IS NULL GROUP BY 1),
+       kept AS (SELECT s, doi, min(doc_id) AS place, arg_max(title, doc_id) AS title FROM own WHERE title IS NOT NULL GROUP BY 1, 2),
+       lists AS (SELECT s, string_agg('doi-' || substr(sha256(doi), 1, 24), ',' ORDER BY place) AS ids, string_agg(title, ',' ORDER BY place) AS titles FROM kept GROUP BY 1)
+       SELECT s AS search_id, CASE WHEN failed THEN CASE WHEN pages_received > 0 THEN 'partial' ELSE 'failed' END WHEN why = 'exhausted' AND n_skipped IS NULL THEN 'complete' ELSE 'partial' END AS status,
+              CASE WHEN s % 3 = 0 AND pages_received > 0 THEN 30.0::DOUBLE END AS total, pages_received,
+              1 + coalesce(n_skipped, 0) + CASE WHEN failed OR why IS NULL THEN 1 WHEN why = 'cursor' THEN 2 ELSE 0 END AS n_limitations, coalesce(ids, '') AS ids, coalesce(titles, '') AS titles
+       FROM taken LEFT JOIN skipped USING (s) LEFT JOIN lists USING (s)"""
+)
+def paged_search(t: Tables) -> DataFrame:
+    """Documents as items of cursor pages, 50 to a search and 10 to a page; some pages failed, some lack their cursor,
+    some items their title; copies of a DOI keep the first place and the last record."""
+    from quillstone.plans.storage import stored
+    from quillstone.sources import cursors
+
+    n = F.col("doc_id")
+    search, page = F.expr("doc_id div 50"), F.expr("cast(doc_id % 50 div 10 as int)")
+    title = F.when(F.col("n_chars") % 11 != 0, F.concat("source", F.lit(" "), n.cast("string")))
+    doi = F.concat(F.lit("10.1234/"), F.coalesce("lang", F.lit("")), F.lit("."), (n % 23).cast("string"))
+    item = F.struct(n.alias("n"), F.struct(doi.alias("DOI"), F.array(title).alias("title")).alias("item"))
+    pages = t.documents.select(search.alias("search_id"), page.alias("page"), item.alias("i")).groupBy("search_id", "page").agg(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["item"]).alias("items"))
+    s, p = F.col("search_id"), F.col("page")
+    message = F.struct("items", F.when(s % 3 == 0, 30).alias("total-results"), F.when((s % 5 != 2) | (p != 3), F.concat(F.lit("c"), p.cast("string"))).alias("next-cursor"))
+    answers = pages.select("search_id", "page", F.when((s % 7 == 6) & (p == 2), 429).otherwise(200).alias("status"), F.to_json(F.struct(F.lit("ok").alias("status"), message.alias("message"))).alias("body"))
+    searches = t.documents.select(search.alias("search_id")).distinct().select("search_id", F.lit(10).alias("rows"), F.lit(5).alias("pages"))
+    found = stored(cursors.paged_search(searches, answers), "paged-search")
+    titles = cursors.papers(found).groupBy("search_id").agg(F.array_sort(F.collect_list(F.struct("place", "title"))).alias("own"))
+    return found.join(titles, "search_id", "left").select(
+        "search_id",
+        "status",
+        F.col("total_results_reported").alias("total"),
+        F.col("pages_received").cast("long").alias("pages_received"),
+        F.size("limitations").cast("long").alias("n_limitations"),
+        F.array_join("result_paper_ids", ",").alias("ids"),
+        F.coalesce(F.array_join("own.title", ","), F.lit("")).alias("titles"),
+    )
