@@ -907,3 +907,25 @@ def paged_search(t: Tables) -> DataFrame:
         F.array_join("result_paper_ids", ",").alias("ids"),
         F.coalesce(F.array_join("own.title", ","), F.lit("")).alias("titles"),
     )
+
+
+# --- stripped drafts --------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT conv_id, turn, 'A claim here.' || chr(10) || CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN '~~~ text' || chr(10) || coalesce(text, '') || chr(10) || '```nearest-set-json' || chr(10) || '~~~' || chr(10)
+              WHEN 2 THEN '' ELSE coalesce(text, '') || chr(10) || 'and ' END || 'more words' AS text FROM conversations"""
+)
+def stripped_turns(t: Tables) -> DataFrame:
+    """Turns as drafts with claim ids; their texts stand in a machine block, an ordinary one, a comment or freely."""
+    from quillstone.functions.stripping import stripped
+
+    own, kind = F.coalesce("text", F.lit("")), F.col("turn") % 4
+    middle = (
+        F.when(kind == 0, F.concat(F.lit("```nearest-set-json\n"), own, F.lit("\n~~~\n````\n")))
+        .when(kind == 1, F.concat(F.lit("~~~ text\n"), own, F.lit("\n```nearest-set-json\n~~~\n")))
+        .when(kind == 2, F.concat(F.lit("<!-- "), own, F.lit("-->")))
+        .otherwise(F.concat(own, F.lit("\nreport-tier: A\nand ")))
+    )
+    draft = F.concat(F.lit("A claim [C1, C2] here [C3].\n"), middle, F.lit("[C4] more[C5]words [C6]"))
+    return t.conversations.select("conv_id", "turn", stripped(draft).alias("text"))
