@@ -65,10 +65,6 @@ def _texts(value: Column) -> Column:
     return F.array_compact(F.transform(F.coalesce(as_items(value), F.array().cast("array<variant>")), as_text))
 
 
-def _of(name: str, fields: str = "fields") -> Column:
-    return F.element_at(fields, F.lit(name))
-
-
 def basis_hashes(dossiers: DataFrame) -> DataFrame:
     """(dossier, idea_id, basis_hash) of each idea of dossiers (dossier, body: JSON text) that pass validation.
 
@@ -79,11 +75,17 @@ def basis_hashes(dossiers: DataFrame) -> DataFrame:
     Each record is written once, and only its text travels: ideas meet records by dossier and id in equi-joins, and one
     grouping by idea brings the texts together.
     """
-    root = dossiers.select("dossier", as_fields(F.try_parse_json("body")).alias("fields")).where("fields is not null")
-    root = root.withColumn("version", F.coalesce(as_number(_of("schema_version")), F.lit(1.0)).cast("int"))
-    names = F.array(*[F.lit(c) for c in ("ideas", "searches", "papers", "evidence", "screening", "pilots", "result_invalidations")])
-    each = root.select("dossier", "version", F.explode(F.transform(names, lambda c: F.struct(c.alias("name"), F.element_at("fields", c).alias("list")))).alias("c"))
-    each = each.select("dossier", "version", F.col("c.name").alias("of"), F.posexplode(as_items(F.col("c.list"))).alias("i", "value")).where(kind(F.col("value")) == "object")
+    spark = dossiers.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a body is parsed once, and no list of records travels beside its own records; AQE would put all bodies into one task
+    top = dossiers.repartition(parts, "dossier").select("dossier", F.explode(as_fields(F.try_parse_json("body"))).alias("of", "v"))
+    top = stored(top.repartition(parts, "dossier", "of"), "dossiers")
+    single = lambda name, value: F.max(F.when(F.col("of") == name, value)).alias(name)
+    text = F.to_json("v")
+    root = top.groupBy("dossier").agg(single("schema_version", as_number(F.col("v"))), single("decision_contract_version", text), single("project", text))
+    root = stored(root.withColumn("version", F.coalesce("schema_version", F.lit(1.0)).cast("int")), "roots")
+    each = top.where(F.col("of").isin("ideas", "searches", "papers", "evidence", "screening", "pilots", "result_invalidations"))
+    each = each.select("dossier", "of", F.posexplode(as_items(F.col("v"))).alias("i", "value")).where(kind(F.col("value")) == "object")
     fields = as_fields(F.col("value"))
     texts = lambda name: F.when(F.col("of") == name[0], _texts(F.element_at(fields, F.lit(name[1])))).otherwise(F.array().cast("array<string>"))
     within = F.filter(F.coalesce(as_items(F.element_at(fields, F.lit("nearest_work"))), F.array().cast("array<variant>")), lambda n: kind(n) == "object")
@@ -94,7 +96,6 @@ def basis_hashes(dossiers: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     records = each.select(
         "dossier",
-        "version",
         "of",
         "i",
         as_text(F.element_at(fields, F.lit("id"))).alias("id"),
@@ -109,7 +110,7 @@ def basis_hashes(dossiers: DataFrame) -> DataFrame:
     records = stored(records, "records")
     own = lambda name: records.where(F.col("of") == name)
     member = ["dossier", "idea", "of", "id"]
-    ideas = own("ideas").withColumnRenamed("id", "idea").drop("ideas")
+    ideas = own("ideas").withColumnRenamed("id", "idea").drop("ideas").join(root.select("dossier", "version"), "dossier")
     screened = own("screening").select("dossier", F.explode("ideas").alias("idea"), "id", "searches", "papers").distinct()
 
     named = lambda rows, of: rows.select("dossier", "idea", F.lit(of).alias("of"), F.explode(of).alias("id"))
@@ -124,19 +125,19 @@ def basis_hashes(dossiers: DataFrame) -> DataFrame:
     versions = ideas.select("dossier", "idea", "version")
     later = reached.join(versions.where("version >= 2").select("dossier", "idea"), ["dossier", "idea"])
     parts = later.join(records.select("dossier", "of", "id", "i", "text"), ["dossier", "of", "id"])
-    first = versions.where("version < 2").join(root.select("dossier", F.explode("fields").alias("of", "v")).where("of in ('project', 'config', 'searches', 'papers', 'evidence')"), "dossier")
+    first = versions.where("version < 2").join(top.where("of in ('project', 'config', 'searches', 'papers', 'evidence')"), "dossier")
     first = first.select("dossier", "of", F.lit("").alias("id"), "idea", F.lit(0).alias("i"), F.lit("raw").alias("how"), F.to_json("v").alias("text"))
     early = results.where("of = 'pilots'").join(versions.where("version < 2"), ["dossier", "idea"]).join(records.select("dossier", "of", "id", "i", "text"), ["dossier", "of", "id"])
     early = early.select("dossier", "of", "id", "idea", "i", F.lit("raw").alias("how"), "text")
     selves = ideas.select("dossier", F.lit("idea").alias("of"), F.lit("").alias("id"), "idea", F.lit(0).alias("i"), F.when(F.col("version") >= 2, "ideas").otherwise("raw").alias("how"), "text")
-    about = versions.where("version >= 2").join(root.select("dossier", F.to_json(_of("project")).alias("text")), "dossier").select("dossier", F.lit("project").alias("of"), F.lit("").alias("id"), "idea", F.lit(0).alias("i"), F.lit("project").alias("how"), "text")
+    about = versions.where("version >= 2").join(root.select("dossier", F.col("project").alias("text")), "dossier").select("dossier", F.lit("project").alias("of"), F.lit("").alias("id"), "idea", F.lit(0).alias("i"), F.lit("project").alias("how"), "text")
     parts = parts.select("dossier", "of", "id", "idea", "i", F.col("of").alias("how"), "text").unionByName(first).unionByName(early).unionByName(selves).unionByName(about)
     written = parts.withColumn("text", canonical_records("how", "text", "idea"))
     order = F.when(F.col("how") == "raw", F.struct(F.col("i").alias("a"), F.lit("").cast("binary").alias("b"), F.col("text"))).otherwise(F.struct(F.lit(0).alias("a"), utf16_key("id").alias("b"), F.col("text")))
     lists = written.groupBy("dossier", "idea", "of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["text"]), ",").alias("text"))
     whole = lists.groupBy("dossier", "idea").agg(F.map_from_entries(F.collect_list(F.struct("of", "text"))).alias("m"))
 
-    contract = root.select("dossier", "version", F.to_json(_of("decision_contract_version")).alias("contract"))
+    contract = root.select("dossier", "version", F.col("decision_contract_version").alias("contract"))
     whole = whole.join(contract.withColumn("contract", canonical_records(F.lit("raw"), "contract", F.lit(None).cast("string"))), "dossier")
     listed = lambda c: F.concat(F.lit(f'"{c}":['), F.coalesce(F.element_at("m", F.lit(c)), F.lit("")), F.lit("]"))
     alone = lambda c: F.concat(F.lit(f'"{c}":'), F.element_at("m", F.lit(c)))
