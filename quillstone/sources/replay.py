@@ -72,14 +72,15 @@ def extracted(fetches: DataFrame) -> DataFrame:
     rows = rows.withColumn("page", page)
     blocks = block_rows(rows.where("page").select("at", F.col("raw").alias("html")), "at")
     blocks = blocks.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("block_id").alias("id"), "kind", "section", "text", "lossy").alias("b")))).alias("b"))
-    rows = rows.join(blocks.select("at", F.transform("b", lambda x: x["b"]).alias("blocks")), "at", "left")
     none = F.array().cast(_BLOCK)
+    # what is extracted is as large as the files, which Spark's estimate doesn't see: it is never broadcast
+    pages = rows.where("page").select("at").join(blocks.select("at", F.transform("b", lambda x: x["b"]).alias("blocks")).hint("merge"), "at", "left").withColumn("blocks", F.coalesce("blocks", none))
+    pages = pages.select("at", F.lit(HTML).alias("extractor"), F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n").alias("text"), "blocks", F.array(F.lit(LIMITS[HTML])).alias("limits"))
     one = F.array(F.struct(F.lit("B-0001").alias("id"), F.lit("text").alias("kind"), F.lit("unknown").alias("section"), F.col("raw").alias("text"), F.lit(False).alias("lossy")))
-    made = F.when(F.col("pdf"), none).when(F.col("page"), F.coalesce("blocks", none)).otherwise(one)
-    text = F.when(F.col("page"), F.array_join(F.transform(F.coalesce("blocks", none), lambda b: b["text"]), "\n\n")).otherwise(F.col("raw"))
-    extractor = F.when(F.col("pdf"), PDF).when(F.col("page"), HTML).otherwise(PLAIN)
-    limits = F.when(F.col("pdf"), F.array(F.lit(LIMITS[PDF]))).when(F.col("page"), F.array(F.lit(LIMITS[HTML]))).otherwise(F.array().cast("array<string>"))
-    return rows.select("at", extractor.alias("extractor"), text.alias("text"), made.alias("blocks"), limits.alias("limits"))
+    extractor = F.when(F.col("pdf"), PDF).otherwise(PLAIN)
+    limits = F.when(F.col("pdf"), F.array(F.lit(LIMITS[PDF]))).otherwise(F.array().cast("array<string>"))
+    others = rows.where("not page").select("at", extractor.alias("extractor"), F.col("raw").alias("text"), F.when(F.col("pdf"), none).otherwise(one).alias("blocks"), limits.alias("limits"))
+    return pages.unionByName(others)
 
 
 def replay(events: DataFrame, files: DataFrame, generator: str | None = None) -> DataFrame:
@@ -109,10 +110,11 @@ def replay(events: DataFrame, files: DataFrame, generator: str | None = None) ->
     lacking = events.where(absent & needed).select("project", "line_no", F.col("id").alias("event_id"), F.lit("receipt").alias("field"), F.lit(None).cast("string").alias("stored"), F.lit("required").alias("computed"))
 
     fetches = held.where(there & (F.col("type") == "source.fetch")).withColumn("at", F.concat_ws("\n", "project", F.col("line_no").cast("string")))
-    read = stored(extracted(fetches.select("at", F.coalesce(as_text(_at("media_type")), F.lit("")).alias("media_type"), "content")), "extracted")
+    whole = stored(extracted(fetches.select("at", F.coalesce(as_text(_at("media_type")), F.lit("")).alias("media_type"), "content")), "extracted")
     ir = F.to_json(F.struct("blocks", "extractor", F.col("limits").alias("limitations"), (F.col("extractor") == PDF).alias("needs_host_extraction"), F.lit(NORMALIZATION).alias("normalization"), "text"))
-    read = read.select("at", "extractor", "blocks", "limits", payload_digests(ir).alias("ir"), F.sha2(normalize_text(F.col("text")), 256).alias("text_sha256"))
-    fetches = stored(fetches.drop("content", "path").join(read, "at", "left"), "fetches")
+    # of the extraction only digests and counts meet the events
+    read = whole.select("at", "extractor", F.size("blocks").alias("n_blocks"), F.exists("blocks", lambda b: b["lossy"]).alias("lossy"), "limits", payload_digests(ir).alias("ir"), F.sha2(normalize_text(F.col("text")), 256).alias("text_sha256"))
+    fetches = stored(fetches.drop("content", "path").join(read.hint("merge"), "at", "left"), "fetches")
     readable = fetches.where("extractor is not null")
     local = as_text(_at("receipt.provider")) == "local"
     found = found.unionByName(_differences(fetches.where("extractor is null"), keep, ("media_type", stated("media_type"), F.lit("UTF-8 text"))))
@@ -129,7 +131,7 @@ def replay(events: DataFrame, files: DataFrame, generator: str | None = None) ->
             same("ir_sha256", F.col("ir")),
             same("ir_path", F.concat(F.lit("sources/"), "ir", F.lit(".ir.json"))),
             same("text_sha256", F.col("text_sha256")),
-            same("block_count", F.size("blocks")),
+            same("block_count", F.col("n_blocks")),
             same("extractor", F.col("extractor")),
             same("normalization", F.lit(NORMALIZATION)),
             same("needs_host_extraction", (F.col("extractor") == PDF)),
@@ -140,10 +142,13 @@ def replay(events: DataFrame, files: DataFrame, generator: str | None = None) ->
 
     # anchors: the last fetch that goes by the name, its extraction as computed
     names = F.explode(F.array_distinct(F.array_compact(F.array("event_id", as_text(_at("id"))))))
-    last = readable.select("project", "line_no", "blocks", "ir", as_text(_at("id")).alias("source"), names.alias("alias")).groupBy("project", "alias").agg(F.max_by(F.struct("blocks", "ir", "source"), "line_no").alias("s"))
-    anchors = events.where("type = 'evidence.anchor'").select("project", "line_no", F.col("id").alias("event_id"), "data", as_text(_at("source_event")).alias("alias")).join(last, ["project", "alias"], "left")
-    block = F.try_element_at(F.filter("s.blocks", lambda b: b["id"] == as_text(_at("block_id"))), F.lit(1))
-    named, lossy = as_text(_at("block_id")).isNotNull(), F.exists("s.blocks", lambda b: b["lossy"])
+    last = readable.select("project", "line_no", "at", "lossy", "ir", as_text(_at("id")).alias("source"), names.alias("alias")).groupBy("project", "alias").agg(F.max_by(F.struct("at", "lossy", "ir", "source"), "line_no").alias("s"))
+    anchors = events.where("type = 'evidence.anchor'").select("project", "line_no", F.col("id").alias("event_id"), "data", as_text(_at("source_event")).alias("alias"), as_text(_at("block_id")).alias("named"))
+    anchors = stored(anchors.join(last, ["project", "alias"], "left").withColumn("at", F.col("s.at")), "anchors")
+    blocks = whole.select("at", F.arrays_zip("blocks.id", "blocks.section", "blocks.lossy").alias("b")).join(anchors.select("at"), "at", "left_semi")
+    blocks = blocks.select("at", F.explode("b").alias("block")).withColumn("named", F.col("block.id"))
+    anchors = anchors.join(blocks, ["at", "named"], "left")
+    named, block = F.col("named").isNotNull(), F.col("block")
     found = found.unionByName(_differences(anchors.where("s is null"), keep, ("source_event", F.coalesce(stated("source_event"), F.lit("")), F.lit(None))))
     found = found.unionByName(
         _differences(
@@ -153,7 +158,7 @@ def replay(events: DataFrame, files: DataFrame, generator: str | None = None) ->
             same("source_ir_sha256", F.col("s.ir")),
             same("block_id", F.when(named, block["id"]).otherwise(stated("block_id"))),
             same("section", F.when(named, block["section"]).otherwise(F.lit("unknown"))),
-            same("lossy", F.when(named, block["lossy"]).otherwise(lossy)),
+            same("lossy", F.when(named, block["lossy"]).otherwise(F.col("s.lossy"))),
         )
     )
     return found.unionByName(lacking)

@@ -100,3 +100,17 @@ def test_differences(found, name):
 
 def test_verified_receipts_are_counted(found):
     assert {n: found[1][n].receipts_verified for n in ("good", "bytes", "missing", "none", "blocks")} == {"good": 3, "bytes": 2, "missing": 2, "none": 2, "blocks": 3}
+
+
+def test_extractions_are_never_broadcast(spark, monkeypatch):
+    """They are as large as the files, which no estimate before they are made tells."""
+    from pyspark.sql import functions as F
+
+    from quillstone.sources import replay as module
+
+    plans, real = {}, module.stored
+    monkeypatch.setattr(module, "stored", lambda df, tag: plans.setdefault(tag, df) and real(df, tag))
+    files = spark.createDataFrame([("p", k, bytearray(v)) for k, v in FILES.items()], "project string, path string, content binary")
+    assert replay(ledger(spark, GOOD).withColumn("project", F.lit("p")), files).count() == 0
+    shown = {tag: plans[tag]._jdf.queryExecution().sparkPlan().toString() for tag in ("extracted", "fetches")}
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in shown.values()), shown
