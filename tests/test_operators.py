@@ -255,3 +255,24 @@ def test_both_checkers_of_payloads_agree(spark):
     wrong = [(payloads[n], said[n], refusal(*payloads[n])) for n in range(len(payloads)) if said[n] != refusal(*payloads[n])]
     assert not wrong, (len(wrong), wrong[:5])
     assert len(set(said.values())) > 100
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_similar_sets_against_all_pairs(spark, seed):
+    """Copies, near copies, small sets, sets of frequent words, other scopes and nulls."""
+    from quillstone.operators.overlap import similar_sets
+
+    r = random.Random(seed)
+    word = lambda: f"w{int(r.paretovariate(0.5)) % 400}"
+    sets = [sorted({word() for _ in range(r.choice([1, 2, 4, 5, 9, 40, 120]))}) for _ in range(120)]
+    for s in list(sets):
+        for _ in range(2):
+            sets.append(r.sample(s, len(s)) if r.random() < 0.3 else sorted({word() if r.random() < 0.08 else w for w in s}))
+    rows = [(i, r.choice("ab") if i % 5 else "a", s) for i, s in enumerate(sets)] + [(9001, None, ["w1"]), (9002, None, ["w1"]), (None, "a", ["w1"]), (9003, "a", None)]
+    want = set()
+    for i, s, x in rows[:360]:
+        for j, t, y in rows[i + 1 : 360]:
+            if s == t and 10 * (both := len({*x} & {*y})) >= 8 * (whole := len({*x} | {*y})):
+                want.add((i, j, both, whole))
+    got = [tuple(x) for x in similar_sets(spark.createDataFrame(rows, "id long, s string, a array<string>"), "id", "s", "a").collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 50
