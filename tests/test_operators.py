@@ -276,3 +276,12 @@ def test_similar_sets_against_all_pairs(spark, seed):
                 want.add((i, j, both, whole))
     got = [tuple(x) for x in similar_sets(spark.createDataFrame(rows, "id long, s string, a array<string>"), "id", "s", "a").collect()]
     assert len(got) == len(want) and set(got) == want and len(want) > 50
+
+
+def test_a_ring_is_known_after_the_round_that_closes_nothing(spark, monkeypatch):
+    """Two tables: where the records stand at first, and after one round."""
+    made, real = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, tag: made.append(tag) or real(df, tag))
+    rows = [(i, (i + 1) % 3) for i in range(3)] + [(i, i - 1) for i in range(3, 40)] + [(100, None)]
+    got = {r.id: r.cyclic for r in graph.chain_depths(spark.createDataFrame(rows, "id long, supersedes long")).collect()}
+    assert got == {i: i < 100 for i in [*range(40), 100]} and len(made) == 2
