@@ -28,14 +28,24 @@ SECRET_PARAMETERS = ("key", "api_key", "apikey", "token", "access_token", "secre
 SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+@F.udf(returnType=StringType(), useArrow=False)
+def _normal(form: str, text: str | None) -> str | None:
+    """Texts come by the hundred, not by the 10,000 of an Arrow batch: memory doesn't grow with them."""
+    return None if text is None else unicodedata.normalize(form, text)
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def _normalized(form: str, text: Column | str, other: str) -> Column:
+    """Only texts with a character that the form may change go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_normal(F.lit(form), F.when(text.rlike(other), text)), text)
+
+
+def nfc(text: Column | str) -> Column:
+    return _normalized("NFC", text, r"[^\x{0}-\x{2FF}]")
+
+
+def nfkc(text: Column | str) -> Column:
+    return _normalized("NFKC", text, r"[^\x{0}-\x{9F}]")
 
 
 @F.pandas_udf(StringType())

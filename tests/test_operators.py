@@ -285,3 +285,13 @@ def test_a_ring_is_known_after_the_round_that_closes_nothing(spark, monkeypatch)
     rows = [(i, (i + 1) % 3) for i in range(3)] + [(i, i - 1) for i in range(3, 40)] + [(100, None)]
     got = {r.id: r.cyclic for r in graph.chain_depths(spark.createDataFrame(rows, "id long, supersedes long")).collect()}
     assert got == {i: i < 100 for i in [*range(40), 100]} and len(made) == 2
+
+
+def test_normal_forms_pass_by_arrow_and_plain_texts(spark):
+    import unicodedata
+
+    texts = ["", None, "plain", "café", "é", "̈́", "가", "豈", " x", "Ω", "ﬁ", "Ǆ", "ạ̇", "\U0001d15e"] + [chr(c) for c in range(1, 0x300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.nfc(F.col("t")).alias("c"), T.nfkc("t").alias("k"))
+    for r in rows.collect():
+        assert (r.c, r.k) == (None if r.t is None else unicodedata.normalize("NFC", r.t), None if r.t is None else unicodedata.normalize("NFKC", r.t)), r
+    assert "ArrowEvalPython" not in rows._jdf.queryExecution().executedPlan().toString()
