@@ -7,7 +7,8 @@ meet the objects of their pattern, never the documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import re
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,9 +29,13 @@ SCHEME, DRIVE = "(?i)^[a-z][a-z0-9+.-]*:", "(?i)^[a-z]:[\\\\/]"
 
 def kind(value: Column) -> Column:
     """object, array, string, number, boolean, null, or missing where there is no value."""
-    shape = F.schema_of_variant(value)
+    return kind_of(F.schema_of_variant(value))
+
+
+def kind_of(shape: Column) -> Column:
+    """`kind` by the value's schema. Where a schema is a column of its own it is worked out once, not for each case."""
     return (
-        F.when(value.isNull(), "missing")
+        F.when(shape.isNull(), "missing")
         .when(shape.startswith("OBJECT"), "object")
         .when(shape.startswith("ARRAY"), "array")
         .when(shape == "STRING", "string")
@@ -105,6 +110,42 @@ def walk(documents: DataFrame, turns: Mapping[str, int] | None = None) -> DataFr
     return found
 
 
+def objects(documents: DataFrame, patterns: Iterable[str], turns: Mapping[str, int] | None = None) -> DataFrame:
+    """The objects of some patterns among the nodes of `walk`: the other columns, path, pattern, turn, fields (by name).
+
+    Only what the patterns name is looked at, in one pass over the documents, and nothing is stored. A pattern is led by
+    the names of fields, so that a field whose own name has a dot or brackets is none of its steps.
+    """
+    keep, turns = [c for c in documents.columns if c != "v"], turns or {}
+    node = lambda path, turn, value: F.struct(path.alias("path"), turn.alias("turn"), value.alias("value"))
+
+    def field(name: str, number: int) -> Callable[[Column], Column]:
+        at = lambda path: F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit(f".{name}")))
+        return lambda n: node(at(n["path"]), F.concat(n["turn"], F.array(F.lit(number))), F.try_variant_get(n["value"], f"$.{name}", "variant"))
+
+    def of_pattern(pattern: str) -> Callable[[Column], Column]:
+        return lambda n: F.struct(F.lit(pattern).alias("pattern"), n["path"].alias("path"), n["turn"].alias("turn"), as_fields(n["value"]).alias("fields"))
+
+    def items(n: Column) -> Column:
+        of_item = lambda x, i: node(F.format_string("%s[%d]", n["path"], i), F.concat(n["turn"], F.array(i)), x)
+        return F.coalesce(F.transform(as_items(n["value"]), of_item), F.array().cast("array<struct<path:string,turn:array<int>,value:variant>>"))
+
+    found = []
+    for pattern in patterns:
+        one, upto = node(F.lit(""), F.array().cast("array<int>"), F.col("v")), ""
+        many = None
+        for name in re.findall(r"\[\]|[^.\[\]]+", pattern):
+            if name == "[]":
+                upto, many = f"{upto}[]", items(one) if many is None else F.flatten(F.transform(many, items))
+            else:
+                upto = f"{upto}.{name}" if upto else name
+                follow = field(name, turns.get(upto, 0))
+                one, many = (follow(one), None) if many is None else (one, F.transform(many, follow))
+        found.append(F.transform(F.array(one) if many is None else many, of_pattern(pattern)))
+    whole = F.filter(F.concat(*found), lambda n: n["fields"].isNotNull())
+    return documents.where("v is not null").select(*keep, F.explode(whole).alias("n")).select(*keep, "n.path", "n.pattern", "n.turn", "n.fields")
+
+
 def has_fact(documents: DataFrame, key: str) -> DataFrame:
     """(key, fact) of documents (key, v): whether anywhere inside there is a string that is not blank, a boolean or a number.
 
@@ -179,7 +220,7 @@ _RULES = "pattern string, field string, check string, args array<string>, option
 
 
 def hold(nodes: DataFrame, rules: list[Rule], keep: tuple[str, ...], numbers: Mapping[str, int], messages: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Failures (keep, location, message, turn) of the rules on nodes (of walk, with version: int), and references.
+    """Failures (keep, location, message, turn) of the rules on nodes (of walk or objects, with version: int), and references.
 
     numbers: the turns that the nodes were walked with. turn sorts the failures of a document.
 
@@ -192,38 +233,49 @@ def hold(nodes: DataFrame, rules: list[Rule], keep: tuple[str, ...], numbers: Ma
     spark = nodes.sparkSession
     say = {**MESSAGES, **(messages or {})}
     table = spark.createDataFrame(_numbered(rules, numbers), _RULES)
-    own = nodes.where("kind = 'object'").select(*keep, "version", "path", "pattern", F.col("turn").alias("at"), as_fields(F.col("value")).alias("fields"))
+    own = nodes if "fields" in nodes.columns else nodes.where("kind = 'object'").withColumn("fields", as_fields(F.col("value")))
+    own = own.select(*keep, "version", "path", "pattern", F.col("turn").alias("at"), "fields")
     met = own.join(F.broadcast(table), "pattern").where("version between least and most")
     met = met.withColumn("there", F.map_contains_key("fields", F.col("field"))).where("there or not optional").withColumn("value", F.element_at("fields", F.col("field")))
     value, check, op = F.col("value"), F.col("check"), F.col("when")[1]
     other = F.element_at("fields", F.col("when")[0])
     says = F.coalesce(as_text(other) == F.col("when")[2], F.lit(False))
     met = met.where(F.when(op == "is", says).when(op == "is_not", ~says).when(op == "has", F.map_contains_key("fields", F.col("when")[0])).when(op == "lacks", ~F.map_contains_key("fields", F.col("when")[0])).otherwise(True))
-    met = met.withColumn("kind", kind(value)).withColumn("location", F.when(F.col("path") == "", F.col("field")).otherwise(F.concat("path", F.lit("."), "field"))).withColumn("turn", F.concat("at", "place"))
+    met = met.withColumn("shape", F.schema_of_variant(value)).withColumn("kind", kind_of(F.col("shape"))).withColumn("location", F.when(F.col("path") == "", F.col("field")).otherwise(F.concat("path", F.lit("."), "field"))).withColumn("turn", F.concat("at", "place"))
     is_kind = lambda k: F.col("kind") == k
     # the shape of a value is looked at once, what is in it once more
     real = F.when(is_kind("number"), F.try_variant_get(value, "$", "double"))
     met = met.withColumn("text", F.when(is_kind("string"), F.try_variant_get(value, "$", "string"))).withColumn("number", real)
     text, number = F.col("text"), F.when(F.abs("number") < float("inf"), F.col("number"))
     spoken, whole_number = F.coalesce(~text.rlike(BLANK), F.lit(False)), F.coalesce(number == F.floor(number), F.lit(False))
-    ok = (
-        F.when(check == "required", F.col("there"))
-        .when(check.isin("object", "texts"), is_kind("object"))
-        .when(check.isin("objects", "array", "strings", "refs", "artifacts"), is_kind("array"))
-        .when(check.isin("text", "ref"), spoken)
-        .when(check == "string", is_kind("string"))
-        .when(check == "boolean", is_kind("boolean"))
-        .when(check == "date", timestamp_key(text).isNotNull())
-        .when(check == "positive", whole_number & (number > 0))
-        .when(check == "whole_or_null", F.col("there") & (is_kind("null") | whole_number))
-        .when(check == "score", F.col("there") & (is_kind("null") | (whole_number & number.between(0, 4))))
-        .when(check == "number_least_0", number >= 0)
-        .when(check == "choice", F.array_contains("args", text))
-        .when(check == "hash", text.rlike(HEX))
-        .when(check == "url", is_source_url(text))
-        .when(check == "artifact", is_artifact(text))
-        .when(check == "absent", ~F.col("there"))
-    )
+    # only the checks that some rule has: what is generated for a row stays small enough to be compiled
+    used = {r.check for r in rules}
+    checks = {
+        "required": lambda: F.col("there"),
+        **dict.fromkeys(("object", "texts"), lambda: is_kind("object")),
+        **dict.fromkeys(("objects", "array", "strings", "refs", "artifacts"), lambda: is_kind("array")),
+        **dict.fromkeys(("text", "ref"), lambda: spoken),
+        "string": lambda: is_kind("string"),
+        "boolean": lambda: is_kind("boolean"),
+        "date": lambda: timestamp_key(text).isNotNull(),
+        "positive": lambda: whole_number & (number > 0),
+        "whole_or_null": lambda: F.col("there") & (is_kind("null") | whole_number),
+        "score": lambda: F.col("there") & (is_kind("null") | (whole_number & number.between(0, 4))),
+        "number_least_0": lambda: number >= 0,
+        "choice": lambda: F.array_contains("args", text),
+        "hash": lambda: text.rlike(HEX),
+        "url": lambda: is_source_url(text),
+        "artifact": lambda: is_artifact(text),
+        "absent": lambda: ~F.col("there"),
+    }
+    ok = F.lit(False)
+    for name in sorted(used & checks.keys()):
+        ok = F.when(check == name, checks[name]()).otherwise(ok)
+    # what is told is put together by array functions, which are interpreted: only rows that may have something to tell get
+    # there. No filter: it would be pushed below the columns above and work them out anew for each of its terms
+    within = sorted(used & {"strings", "refs", "artifacts", "objects", "texts", "ref"})
+    met = met.withColumn("bad", ~F.coalesce(ok, F.lit(False)))
+    telling = F.col("bad") | check.isin(*within) if within else F.col("bad")
     named = {"strings": "strings", "refs": "strings", "artifacts": "strings", "ref": "text", "texts": "object"}
     words = F.when(F.col("message") != "", F.col("message")).when(check == "choice", F.concat(F.lit("must be one of "), F.array_join("args", ", ")))
     for name in sorted({r.check for r in rules if not r.message} - {"choice"}):
@@ -232,27 +284,30 @@ def hold(nodes: DataFrame, rules: list[Rule], keep: tuple[str, ...], numbers: Ma
     told = lambda what, location, message, value, place: F.struct(F.lit(what).alias("what"), location.alias("location"), message.alias("message"), value.cast("string").alias("value"), place.alias("turn"))
     nothing, location, turn, args = F.lit(None), F.col("location"), F.col("turn"), F.col("args")
     none = F.array().cast("array<struct<what:string,location:string,message:string,value:string,turn:array<int>>>")
-    own = F.array_compact(F.array(
-        F.when(~F.coalesce(ok, F.lit(False)), told("failed", root, words, nothing, turn)),
-        F.when((check == "ref") & spoken, told("ref", location, args[0], text, turn)),
-    ))
+    own = [F.when(F.col("bad"), told("failed", root, words, nothing, turn))]
+    own += [F.when((check == "ref") & spoken, told("ref", location, args[0], text, turn))] if "ref" in used else []
 
     def of_item(item: Column, i: Column) -> Column:
         """Of references and artifacts all items are read once for their kind, then again."""
         at, blank = F.format_string("%s[%d]", location, i), ~has_text(item)
         place = lambda *more: F.concat(turn, F.array(*more))
-        return F.array_compact(F.array(
-            F.when((check == "objects") & (kind(item) != "object"), told("failed", at, F.lit(say["object"]), nothing, place(i, F.lit(0)))),
-            F.when(check.isin("strings", "refs", "artifacts") & blank, told("failed", at, F.lit(say["text"]), nothing, place(F.lit(0), i))),
-            F.when((check == "refs") & blank, told("failed", at, F.lit(say["text"]), nothing, place(F.lit(1), i))),
-            F.when((check == "refs") & ~blank, told("ref", at, args[0], as_text(item), place(F.lit(1), i))),
-            F.when((check == "artifacts") & ~is_artifact(as_text(item)), told("failed", at, F.lit(say.get("artifacts", "")), nothing, place(F.lit(1), i))),
-        ))
-
-    listed = F.when(check.isin("strings", "refs", "artifacts", "objects"), F.flatten(F.transform(as_items(value), of_item)))
-    texts = F.filter(F.map_entries(as_fields(value)), lambda e: ~has_text(e["value"]))
-    texts = F.when(check == "texts", F.transform(texts, lambda e: told("failed", F.concat(location, F.lit("."), e["key"]), F.lit(say["text"]), nothing, turn)))
-    found = met.select(*keep, F.explode(F.concat(own, F.coalesce(listed, none), F.coalesce(texts, none))).alias("t")).select(*keep, "t.*")
+        each = {
+            ("objects",): F.when((check == "objects") & (kind(item) != "object"), told("failed", at, F.lit(say["object"]), nothing, place(i, F.lit(0)))),
+            listing: F.when(check.isin(*listing) & blank, told("failed", at, F.lit(say["text"]), nothing, place(F.lit(0), i))),
+            ("refs",): F.when((check == "refs") & blank, told("failed", at, F.lit(say["text"]), nothing, place(F.lit(1), i))),
+            ("refs", ""): F.when((check == "refs") & ~blank, told("ref", at, args[0], as_text(item), place(F.lit(1), i))),
+            ("artifacts",): F.when((check == "artifacts") & ~is_artifact(as_text(item)), told("failed", at, F.lit(say.get("artifacts", "")), nothing, place(F.lit(1), i))),
+        }
+        return F.array_compact(F.array(*[c for of, c in each.items() if used & {*of}]))
+
+    listing, parts = ("strings", "refs", "artifacts"), [F.array_compact(F.array(*own))]
+    if some := sorted(used & {*listing, "objects"}):
+        parts.append(F.coalesce(F.when(check.isin(*some), F.flatten(F.transform(as_items(value), of_item))), none))
+    if "texts" in used:
+        texts = F.filter(F.map_entries(as_fields(value)), lambda e: ~has_text(e["value"]))
+        texts = F.when(check == "texts", F.transform(texts, lambda e: told("failed", F.concat(location, F.lit("."), e["key"]), F.lit(say["text"]), nothing, turn)))
+        parts.append(F.coalesce(texts, none))
+    found = met.select(*keep, F.explode(F.when(telling, F.concat(*parts))).alias("t")).select(*keep, "t.*")
     found = stored(found, "told")
     failed = found.where("what = 'failed'").select(*keep, "location", "message", "turn")
     return failed, found.where("what = 'ref'").select(*keep, "location", F.col("message").alias("collection"), "value", "turn")
