@@ -1,6 +1,7 @@
 """Operators over the corpus against brute force, and the pipeline."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstone.llm import ann, lines, minhash, mixing, quality
+from quillstone.llm import ann, lines, linking, minhash, mixing, quality
 from tests.llm.helpers import WORD, Union, clashing, odd_rows, shingles, table, words
 
 
@@ -75,6 +76,34 @@ def test_banded_distance():
             assert lines.within(a, b, most) == (distance(a, b) <= most)
 
 
+def test_banded_distance_of_many_pairs():
+    r, pairs = random.Random(21), []
+    for letters in ("ab", "abcdefgh \u00e9\U0001f600"):
+        for n in [12, 16, 17, 40, 64, 130, 300, 520, 1030] * 12:
+            base = "".join(r.choice(letters) for _ in range(n))
+            pairs += [(edited(base, r.randint(0, 6), r, letters), edited(base, r.randint(0, 10), r, letters)) for _ in range(4)]
+    pairs += [("".join(r.choices("ab", k=r.randint(0, 5))), "".join(r.choices("ab", k=r.randint(0, 5)))) for _ in range(200)]
+    pairs += [("".join(r.choices("abcdefgh", k=60)), "".join(r.choices("abcdefgh", k=60 + i % 3))) for i in range(50)]
+    pairs += [("", ""), ("", "a"), ("abc", ""), ("same", "same"), ("x" * 40, "x" * 41), ("ab" * 30, "ba" * 30)]
+    for most in (0, 1, 2, 6, 12, 15, 17, None):
+        edits = np.array([lines.allowed(min(len(a), len(b)), most) for a, b in pairs])
+        want = [lines.within(a, b, e) for (a, b), e in zip(pairs, edits.tolist(), strict=True)]
+        assert lines.within_each([a for a, _ in pairs], [b for _, b in pairs], edits).tolist() == want
+        assert 0 < sum(want) < len(want)
+    assert lines.within_each([], [], np.array([], np.int64)).tolist() == []
+
+
+def test_many_distances_take_less_than_one_by_one():
+    r = random.Random(22)
+    base = "".join(r.choice("thenoris ") for _ in range(360))
+    texts = [edited(base, 9, r, "thenoris ") for _ in range(3000)]
+    start = time.process_time()
+    one = [lines.within(a, b, 6) for a, b in zip(texts, texts[::-1], strict=True)]
+    middle = time.process_time()
+    assert lines.within_each(texts, texts[::-1], np.full(len(texts), 6)).tolist() == one
+    assert time.process_time() - middle < (middle - start) / 3
+
+
 def test_bags_sift_no_linked_pair():
     r = random.Random(11)
     pairs = []
@@ -188,6 +217,23 @@ def test_repeated_lines_by_length_against_brute_force(spark):
     assert {x.doc_id for x in got if x.removed} == want
 
 
+def test_more_links_join_the_components_there_are(spark):
+    r = random.Random(23)
+    old, new = [[(r.randrange(200), r.randrange(200)) for _ in range(n)] for n in (60, 50)]
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    for first, more in ((old, new), (old, []), ([], new), ([], [])):
+        union = Union()
+        for a, b in [*first, *more]:
+            union.join(a, b)
+        got = {}
+        for x in linking.linked(linking.components(frame(first)), frame(more)).collect():
+            assert x.node not in got
+            got[x.node] = x.comp
+        inside = {n for a, b in [*first, *more] if a != b for n in (a, b)}
+        assert got.keys() == inside
+        assert len({(got[n], union.find(n)) for n in inside}) == len({*got.values()}) == len({union.find(n) for n in inside})
+
+
 def test_dropping_lines_keeps_columns(spark):
     docs = clashing(table(spark, [(1, "first line\nsecond"), (2, "first line"), (3, "first line\nown\n"), (4, None), (5, ""), (None, "second\nlast")]))
     got = lines.drop_repeated_lines(docs)
