@@ -447,3 +447,65 @@ def test_lines_of_one_template_do_not_make_all_their_pairs(spark, monkeypatch):
     for i, c in enumerate(codes):
         want.setdefault(union.find(c), []).append(i)
     assert sorted(x.doc_id for x in got if x.removed) == sorted(i for own in want.values() for i in own[1:])
+
+
+def test_variants_of_a_long_line_do_not_meet_pair_by_pair(spark, monkeypatch):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9)))
+    base, texts = [word() for _ in range(60)], set()
+    while len(texts) < 400:
+        own = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 6])):
+            own[r.randrange(len(own))] = r.choice([word(), "", own[r.randrange(len(own))]])
+        texts.add(" ".join(own))
+    texts = sorted(texts)
+    tried = []
+    link_lists = lines.link_lists
+
+    def counting(postings, fits, sift, fetch, confirm, refine):
+        def counted(pairs, found):
+            tried.append(pairs.count())
+            return confirm(pairs, found)
+
+        return link_lists(postings, fits, sift, fetch, counted, refine)
+
+    monkeypatch.setattr(lines, "link_lists", counting)
+    got = lines.repeated_lines(table(spark, list(enumerate(texts)))).collect()
+    union = Union()
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    edits = np.array([lines.allowed(min(len(texts[i]), len(texts[j]))) for i, j in pairs])
+    for (i, j), near in zip(pairs, lines.within_each([texts[i] for i, _ in pairs], [texts[j] for _, j in pairs], edits).tolist(), strict=True):
+        if near:
+            union.join(i, j)
+    want = {i for i in range(len(texts)) if union.find(i) != i}
+    assert 40 < len(want) < len(texts) - 50
+    assert {x.doc_id for x in got if x.removed} == want
+    assert sum(tried) < len(pairs) // 6
+
+
+def test_least_edits_and_changed_places_against_brute_force():
+    def least(piece, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(piece, 1):
+            new = [i]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    r, pieces, hubs = random.Random(32), [], []
+    for _ in range(200):
+        letters = r.choice(["ab", "abcdefgh é\U0001f600"])
+        pieces.append("".join(r.choice(letters) for _ in range(r.randint(1, 64))))
+        hubs.append("".join(r.choice(letters) for _ in range(r.randint(0, 100))))
+    assert lines.least_edits(pieces, hubs).tolist() == [least(p, h) for p, h in zip(pieces, hubs, strict=True)]
+    for k in range(150):
+        letters = r.choice(["ab", "abcdefgh"])
+        hub = "".join(r.choice(letters) for _ in range(r.randint(0, 70)))
+        own = edited(hub, r.randint(0, 4), r, letters) if hub and k % 5 else "".join(r.choice(letters) for _ in range(r.randint(0, 70)))
+        grams = lines._spans(hub)
+        changed, high = lines._changed(lines._spans(own), grams, np.argsort(grams, kind="stable"), len(own), len(hub))
+        assert high >= distance(own, hub)
+        for s in range(len(own)):
+            for e in range(s + 1, len(own) + 1):
+                assert own[s:e] in hub or any(s < hi and e > lo for lo, hi in changed)
