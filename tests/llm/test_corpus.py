@@ -483,6 +483,37 @@ def test_variants_of_a_long_line_do_not_meet_pair_by_pair(spark, monkeypatch):
     assert sum(tried) < len(pairs) // 6
 
 
+def test_lines_that_repeat_their_words_have_few_placed_grams():
+    r = random.Random(33)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    groups = []
+    for n in (70, 130, 300, 600, 1100, 5000):
+        for kind in range(4):
+            some = [word() for _ in range(3)]
+            base = "".join(f"{some[0] if kind == 1 else r.choice(some) if kind == 2 else some[i * 3 // n] if kind == 3 else word()} " for i in range(n))[:n]
+            groups.append([base, *(edited(base, r.randint(1, lines.allowed(n)), r, "abcdefgh ") for _ in range(5))])
+    texts = [t for own in groups for t in own]
+    counted = list(lines._count_batches(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["line"])])))
+    counts = np.zeros(lines.COUNTS, np.int32)
+    for batch in counted:
+        assert min(batch.column(1).to_pylist()) > 1
+        counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    source = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["node", "line"])
+    found = pa.Table.from_batches(lines._placed_batches(None, counts)(iter([source]))).to_pylist()
+    rows = [[x for x in found if x["node"] == i] for i in range(len(texts))]
+    few = {x["node"] for x in found if x["key"] is None}
+    n_linked = 0
+    for i, a in enumerate(texts):
+        if i not in few:
+            assert len(rows[i]) <= 2 * (lines.allowed(len(a)) * lines.GRAM + 1)
+        for j in range(i // 6 * 6, i):
+            edits = lines.allowed(min(len(a), len(texts[j])))
+            if not (i in few and j in few) and lines.within(a, texts[j], edits):
+                n_linked += 1
+                assert any(x["key"] == y["key"] and abs(x["at"] - y["at"]) <= edits for x in rows[i] for y in rows[j]), (a, texts[j])
+    assert n_linked > 100
+
+
 def test_least_edits_and_changed_places_against_brute_force():
     def least(piece, text):
         row = [0] * (len(text) + 1)
