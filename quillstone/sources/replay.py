@@ -5,6 +5,8 @@ events: project, line_no, id, type, data (variant). files: project, path (below
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from quillstone.functions.canonical import payload_digests
 from quillstone.functions.text import normalize_text
 from quillstone.operators.fields import as_number, as_text, kind
 from quillstone.plans.storage import stored
-from quillstone.sources.html import block_rows
+from quillstone.sources.html import block_rows, decoded_text
 
 # Extractors, what is said of their limits, the name of the normalisation.
 PDF, HTML, PLAIN = "pdf-unextracted-v1", "html-stdlib-v1", "text-utf8-v1"
@@ -60,17 +62,17 @@ def receipts(events: DataFrame, files: DataFrame) -> DataFrame:
     return own.withColumn("path", plain).join(files.select("project", "path", "content"), ["project", "path"], "left")
 
 
-def extracted(fetches: DataFrame) -> DataFrame:
+def extracted(fetches: DataFrame, read: Callable[[Column], Column] = decoded_text) -> DataFrame:
     """(at, extractor, text, blocks, limits) of files (at, media_type, content) whose bytes can be read; at names a file.
 
-    PDF files have no text, HTML files their blocks, others one block. Bytes that are no UTF-8 have no row.
+    PDF files have no text, HTML files their blocks (as `read` reads them), others one block. Bytes that are no UTF-8 have no row.
     """
     raw = F.col("content").cast("string")
     rows = fetches.withColumn("pdf", F.col("media_type").contains("pdf") | raw.startswith("%PDF"))
     rows = rows.where(F.col("pdf") | F.is_valid_utf8(raw)).withColumn("raw", F.when(F.col("pdf"), "").otherwise(F.regexp_replace(raw, r"^\x{FEFF}", "")))
     page = ~F.col("pdf") & (F.col("media_type").contains("html") | F.lower(F.regexp_replace("raw", r"(?U)^\s+", "")).rlike("^(<!doctype html|<html)"))
     rows = rows.withColumn("page", page)
-    blocks = block_rows(rows.where("page").select("at", F.col("raw").alias("html")), "at")
+    blocks = block_rows(rows.where("page").select("at", F.col("raw").alias("html")), "at", read)
     blocks = blocks.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("block_id").alias("id"), "kind", "section", "text", "lossy").alias("b")))).alias("b"))
     none = F.array().cast(_BLOCK)
     # what is extracted is as large as the files, which Spark's estimate doesn't see: it is never broadcast
@@ -83,7 +85,7 @@ def extracted(fetches: DataFrame) -> DataFrame:
     return pages.unionByName(others)
 
 
-def replay(events: DataFrame, files: DataFrame, generator: str | None = None) -> DataFrame:
+def replay(events: DataFrame, files: DataFrame, generator: str | None = None, read: Callable[[Column], Column] = decoded_text) -> DataFrame:
     """(project, line_no, event_id, field, stored, computed) wherever an event differs from its file.
 
     Every receipt: artifact (stored path against a file that is there), raw_sha256, bytes, generated_by (if generator is
@@ -110,7 +112,7 @@ def replay(events: DataFrame, files: DataFrame, generator: str | None = None) ->
     lacking = events.where(absent & needed).select("project", "line_no", F.col("id").alias("event_id"), F.lit("receipt").alias("field"), F.lit(None).cast("string").alias("stored"), F.lit("required").alias("computed"))
 
     fetches = held.where(there & (F.col("type") == "source.fetch")).withColumn("at", F.concat_ws("\n", "project", F.col("line_no").cast("string")))
-    whole = stored(extracted(fetches.select("at", F.coalesce(as_text(_at("media_type")), F.lit("")).alias("media_type"), "content")), "extracted")
+    whole = stored(extracted(fetches.select("at", F.coalesce(as_text(_at("media_type")), F.lit("")).alias("media_type"), "content"), read), "extracted")
     ir = F.to_json(F.struct("blocks", "extractor", F.col("limits").alias("limitations"), (F.col("extractor") == PDF).alias("needs_host_extraction"), F.lit(NORMALIZATION).alias("normalization"), "text"))
     # of the extraction only digests and counts meet the events
     read = whole.select("at", "extractor", F.size("blocks").alias("n_blocks"), F.exists("blocks", lambda b: b["lossy"]).alias("lossy"), "limits", payload_digests(ir).alias("ir"), F.sha2(normalize_text(F.col("text")), 256).alias("text_sha256"))

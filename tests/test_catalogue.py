@@ -51,3 +51,18 @@ def test_page_section_on_odd_pages(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     got = [tuple(r) for r in catalogue.QUERIES["page_section"](spark, str(tmp_path)).select("page_id", "section").collect()]
     assert sorted(got) == sorted(con.execute(catalogue.ORACLE_SQL["page_section"]).fetchall())
+
+
+def test_html_blocks_on_odd_pages(spark, tmp_path):
+    """Pages cut in a reference, references that the SQL leaves, white space of other kinds, names next to script."""
+    odd = [
+        "<h1>a &quot", "<h1>a &quot</h1><p>b", "<p>x &copy", "<p>&lt &gt &amp &ampx &AMP; &amp;lt; &amp;amp;lt; &lt;b&gt;", "<p>&nbsp;</p><p>&#32;</p><h2>&eacute;&#65;</h2><p>z",
+        "<p>\u00a0 a\u00a0b\x0bc\u2003d\u3000 </p><p>\x0b</p><p>\u00a0</p><p>\x1f\x85</p><p>\n</p>", "<script\u00e9>x</script\u00e9><p>y</p>", "<script>a</script\x0b><p>b</script ><p>c", "<style_>a<p>b</style><p>c",
+        "<h1>\U0001f600&middot;</h1><p>e\u0301 \U0001f926\U0001f3fc</p>", "<p title='a>b'>x<br/>y<svg><p>no</svg></svg>z<h3/>w", "", None, "<", "<p", "<!-- x", "<p>a</p><!doctype x", "<script>a",
+    ]
+    spark.createDataFrame(list(enumerate(odd)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    names = "page_id, pos, kind, text, start_at, end_at, section"
+    got = [tuple(r) for r in catalogue.QUERIES["html_blocks"](spark, str(tmp_path)).select(*names.split(", ")).collect()]
+    assert sorted(got) == sorted(con.execute(f"SELECT {names} FROM ({catalogue.ORACLE_SQL['html_blocks']})").fetchall())
