@@ -540,3 +540,27 @@ def test_least_edits_and_changed_places_against_brute_force():
         for s in range(len(own)):
             for e in range(s + 1, len(own) + 1):
                 assert own[s:e] in hub or any(s < hi and e > lo for lo, hi in changed)
+
+
+def test_keys_of_lines_come_in_few_pieces():
+    """One piece for each class of lengths, however many segments and places these have; linked lines share a key."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefgh "), n)) for n in (16, 63, 64, 130, 300, 700, 1500, 3000)]
+    texts += [t[: len(t) // 3] + "#" + t[len(t) // 3 + 1 :] for t in texts]
+    own = lines.Lines(texts)
+    found = list(lines._keys(own, np.arange(len(texts)), None))
+    assert len(found) <= len(lines.EDITS) + 4
+    keys = [set() for _ in texts]
+    for at, key in found:
+        for i, k in zip(at.tolist(), key.tolist(), strict=True):
+            keys[i].add(k)
+    assert all(keys[i] & keys[i + len(texts) // 2] for i in range(len(texts) // 2))
+
+
+def test_only_texts_that_may_be_wanted_travel(spark):
+    """Marks pass every wanted key, negative ones too, and next to no others."""
+    keys = spark.range(4000).select("id", F.xxhash64("id").alias("row_key"))
+    marks = lines._marks(keys.where("id % 10 = 0").select("row_key"))
+    assert marks.select(F.size("marks")).first()[0] == lines.MARKS // 64
+    passed = {r.id for r in keys.join(F.broadcast(marks), lines._marked(), "left_semi").collect()}
+    assert passed >= set(range(0, 4000, 10)) and len(passed) <= 420
