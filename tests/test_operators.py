@@ -295,3 +295,19 @@ def test_normal_forms_pass_by_arrow_and_plain_texts(spark):
     for r in rows.collect():
         assert (r.c, r.k) == (None if r.t is None else unicodedata.normalize("NFC", r.t), None if r.t is None else unicodedata.normalize("NFKC", r.t)), r
     assert "ArrowEvalPython" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_alike_sets_travel_once_a_block(spark, monkeypatch):
+    """Of 150 sets that are all alike, each is in a few blocks, not in one for each of its 149 pairs; counts by brute force."""
+    from quillstone.operators import overlap
+
+    held = {}
+    keep = overlap.stored
+    monkeypatch.setattr(overlap, "stored", lambda df, tag: held.setdefault(tag, keep(df, tag)))
+    sets = {i: [f"w{j}" for j in range(60) if j % 50 != i % 50] + [f"v{i}", ""] for i in range(150)} | {200: ["x"], 201: ["x"], 202: ["y", "\u00e9"]}
+    rows = spark.createDataFrame([(i, "s", w) for i, w in sets.items()] + [(300, None, ["x"]), (301, "t", ["x"]), (302, "s", None)], "k long, s string, words array<string>")
+    got = {(r.doc_a, r.doc_b, r.n_both, r.n_all) for r in overlap.similar_sets(rows, "k", "s", "words").collect()}
+    pairs = [(a, b, len({*sets[a]} & {*sets[b]}), len({*sets[a]} | {*sets[b]})) for a in sets for b in sets if a < b]
+    assert got == {p for p in pairs if 10 * p[2] >= 8 * p[3]} and len(got) > 11000
+    blocks = held["blocks"]
+    assert blocks.select("block", F.explode(F.array("ca", "cb")).alias("c")).distinct().count() <= 150 * 6
